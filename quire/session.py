@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +25,23 @@ def build(app: str = "quire", master: str | None = None, **conf: str) -> SparkSe
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors once a session; they need not have the repository in their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quire_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    if root.parent.suffix != ".zip":  # not itself run from a shipped archive
+        to = Path(tempfile.mkdtemp(prefix="quire-")) / "quire_package.zip"
+        with zipfile.ZipFile(to, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        sc.addPyFile(str(to))
+    sc._quire_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

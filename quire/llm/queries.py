@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import exact, lines
+from . import exact, lines, packing, tokens
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -28,7 +28,22 @@ def p5_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return exact.collapse(table(spark, d, "facts"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_cleaned, p5_found, p5_collapsed)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document."""
+    return tokens.encode(table(spark, d, "documents"))
+
+
+def p9_pack(spark: SparkSession, d: str) -> DataFrame:
+    """A container for every text, for each specification."""
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "container_specs"))
+
+
+def p9_summary(spark: SparkSession, d: str) -> DataFrame:
+    """How many containers were filled, and how full they are."""
+    return packing.summary(p9_pack(spark, d), table(spark, d, "container_specs"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_cleaned, p5_found, p5_collapsed, p8_ids, p9_pack, p9_summary)}
 
 _LINES = r"""
 WITH once AS (SELECT DISTINCT chunk_id, document_id, content FROM chunks WHERE chunk_id IS NOT NULL),

@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +27,7 @@ LEAST_DOCUMENTS = 3
 LEAST_SHARE = 0.25
 #: Repeated lines are broadcast up to this count (about 50 MB), beyond it they are joined by shuffle.
 BROADCAST_LINES = 500_000
+_OWN = ["chunk_id", "document_id", "source", "n_documents"]
 
 
 def line_key(line: str | Column) -> Column:
@@ -56,21 +57,28 @@ def repeated_lines(chunks: DataFrame, profiles: DataFrame) -> tuple[DataFrame, D
     return lines, documents
 
 
-def _doubled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Ranks of every suffix of each run of repeated lines, by its first 1, 2, 4 ... lines; a chunk's rows are one array."""
-    mix = np.uint64(0x9E3779B97F4A7C15)
-    for f in frames:
-        out = []
-        for chunk, doc, source, n_documents, line_no, line in zip(f.chunk_id, f.document_id, f.source, f.n_documents, f.line_no, f.line):
-            at, rank, k = np.asarray(line_no, np.int64), np.asarray(line, np.int64).view(np.uint64), 1
-            while len(at):
-                out.append(pd.DataFrame({"chunk_id": chunk, "document_id": doc, "source": source, "n_documents": n_documents, "line_no": at, "n_lines": k, "rank": rank.view(np.int64)}))
-                # the suffix k lines on, if it is in the same run
-                there = np.searchsorted(at, at + k)
-                ok = (there < len(at)) & (at[np.minimum(there, len(at) - 1)] == at + k)
-                rank = (rank[ok] * mix) ^ (rank[there[ok]] + (rank[there[ok]] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                at, k = at[ok], 2 * k
-        yield pd.concat(out) if out else pd.DataFrame({c: [] for c in ("chunk_id", "document_id", "source", "n_documents", "line_no", "n_lines", "rank")})
+def _doubled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranks of every suffix of each run of repeated lines, by its first 1, 2, 4 ... lines. A row holds a chunk's lines in order."""
+    mix, stir = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+    for b in batches:
+        lines_no, lines = b.column("line_no"), b.column("line")
+        at = lines_no.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        rank, k = lines.flatten().to_numpy(zero_copy_only=False).view(np.uint64), 1
+        row = np.repeat(np.arange(b.num_rows), np.diff(lines_no.offsets.to_numpy()))
+        i = np.arange(len(at))
+        while len(i):
+            keep = pa.array(row[i])
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c).take(keep) for c in _OWN), pa.array(at[i].astype(np.int32)), pa.array(np.full(len(i), k, np.int32)), pa.array(rank[i].view(np.int64))], names=[*_OWN, "line_no", "n_lines", "rank"]
+            )
+            # the suffix k lines on, if it is in the same run and long enough itself
+            long = np.zeros(len(at) + k, bool)
+            long[i] = True
+            i = i[(i + k < len(at)) & long[i + k]]
+            i = i[(row[i + k] == row[i]) & (at[i + k] == at[i] + k)]
+            new = rank.copy()
+            new[i] = (rank[i] * mix) ^ (rank[i + k] + (rank[i + k] >> np.uint64(29))) * stir
+            rank, k = new, 2 * k
 
 
 def repeated_blocks(chunks: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -81,9 +89,9 @@ def repeated_blocks(chunks: DataFrame, profiles: DataFrame) -> DataFrame:
     hits = _lines(chunks).join(side(lines.select("line").distinct()), "line", "left_semi").join(documents, "document_id").join(side(lines.select("source", "line")), ["source", "line"], "left_semi")
     suffixes = hits.groupBy("chunk_id", "document_id", "source", "n_documents").agg(F.array_sort(F.collect_set(F.struct("line_no", "line"))).alias("x"))  # one chunk's lines
     suffixes = suffixes.select("chunk_id", "document_id", "source", "n_documents", F.col("x.line_no").alias("line_no"), F.col("x.line").alias("line"))
-    ranked = suffixes.mapInPandas(_doubled, "chunk_id string, document_id string, source string, n_documents long, line_no int, n_lines int, rank long")
+    ranked = cut(suffixes.mapInArrow(_doubled, "chunk_id string, document_id string, source string, n_documents long, line_no int, n_lines int, rank long"))
     single = ranked.where("n_lines = 1")  # counted above
-    longer = cut(ranked.where("n_lines > 1"))
+    longer = ranked.where("n_lines > 1")
     spans = longer.select("source", "n_lines", "rank", "document_id", "n_documents").distinct().groupBy("source", "n_lines", "rank").agg(F.count("*").alias("n"), F.first("n_documents").alias("n_documents")).where(_need())
     blocks = longer.drop("n_documents").join(spans.select("source", "n_lines", "rank", "n"), ["source", "n_lines", "rank"])
     one = single.drop("n_documents").join(side(lines.select("source", F.col("line").alias("rank"), "n")), ["source", "rank"])

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import exact, lines, packing, tokens
+from . import exact, lines, neardup, packing, tokens
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -28,6 +29,21 @@ def p5_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return exact.collapse(table(spark, d, "facts"))
 
 
+def _near(spark: SparkSession, d: str) -> neardup.Join:
+    texts = table(spark, d, "chunks").select(F.col("chunk_id").alias("id"), F.col("content").alias("text"))
+    return neardup.Join(texts, n=3, threshold=0.6, least_words=25)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of chunks that share most of their word trigrams."""
+    return _near(spark, d).pairs().toDF("chunk_id_a", "chunk_id_b")
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk with its class of equal texts and the number of classes near to it."""
+    return _near(spark, d).report().toDF("chunk_id", "class_id", "class_size", "n_links")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode(table(spark, d, "documents"))
@@ -43,7 +59,7 @@ def p9_summary(spark: SparkSession, d: str) -> DataFrame:
     return packing.summary(p9_pack(spark, d), table(spark, d, "container_specs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_cleaned, p5_found, p5_collapsed, p8_ids, p9_pack, p9_summary)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_cleaned, p5_found, p5_collapsed, p7_found, p7_groups, p8_ids, p9_pack, p9_summary)}
 
 _LINES = r"""
 WITH once AS (SELECT DISTINCT chunk_id, document_id, content FROM chunks WHERE chunk_id IS NOT NULL),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import exact, lines, neardup, packing, tokens
+from . import exact, language, lines, mojibake, neardup, packing, tokens
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -29,6 +29,21 @@ def p5_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return exact.collapse(table(spark, d, "facts"))
 
 
+def _contents(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunks").select(F.lit("chunks").alias("table_name"), F.col("chunk_id").alias("record_id"), "content")
+    return chunks.unionByName(table(spark, d, "blocks").select(F.lit("blocks").alias("table_name"), F.col("block_id").alias("record_id"), "content"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records decoded with a wrong encoding."""
+    return mojibake.garbled(_contents(spark, d)).select("table_name", "record_id")
+
+
+def p6_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The garbled records read again, and how they were garbled."""
+    return mojibake.garbled(_contents(spark, d))
+
+
 def _near(spark: SparkSession, d: str) -> neardup.Join:
     texts = table(spark, d, "chunks").select(F.col("chunk_id").alias("id"), F.col("content").alias("text"))
     return neardup.Join(texts, n=3, threshold=0.6, least_words=25)
@@ -59,7 +74,17 @@ def p9_summary(spark: SparkSession, d: str) -> DataFrame:
     return packing.summary(p9_pack(spark, d), table(spark, d, "container_specs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_cleaned, p5_found, p5_collapsed, p7_found, p7_groups, p8_ids, p9_pack, p9_summary)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose label is missing or wrong, or that hold several languages."""
+    return language.wrong_labels(table(spark, d, "documents"))
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every stretch of sentences in one language, with a confidence."""
+    return language.segments(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_cleaned, p5_found, p5_collapsed, p6_found, p6_restored, p7_found, p7_groups, p8_ids, p9_pack, p9_summary, p10_found, p10_segments)}
 
 _LINES = r"""
 WITH once AS (SELECT DISTINCT chunk_id, document_id, content FROM chunks WHERE chunk_id IS NOT NULL),

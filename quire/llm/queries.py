@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import exact, language, lines, mojibake, neardup, packing, tokens
+from . import exact, language, lines, mojibake, neardup, ocr, packing, tokens
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -19,6 +19,20 @@ def p1_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return lines.without_repeated_lines(table(spark, d, "chunks"), table(spark, d, "profiles"))
 
 
+def _scans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "chunks"), table(spark, d, "profiles"), table(spark, d, "ocr_boxes")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Noise of the scan in chunks and boxes."""
+    return ocr.noise(*_scans(spark, d))
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """The paragraphs of scanned chunks and of pages of boxes."""
+    return ocr.repaired(*_scans(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Copies of facts that differ in formatting only."""
     return exact.copy_pairs(table(spark, d, "facts"))
@@ -84,7 +98,7 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     return language.segments(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_cleaned, p5_found, p5_collapsed, p6_found, p6_restored, p7_found, p7_groups, p8_ids, p9_pack, p9_summary, p10_found, p10_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p2_repaired, p5_found, p5_collapsed, p6_found, p6_restored, p7_found, p7_groups, p8_ids, p9_pack, p9_summary, p10_found, p10_segments)}
 
 _LINES = r"""
 WITH once AS (SELECT DISTINCT chunk_id, document_id, content FROM chunks WHERE chunk_id IS NOT NULL),

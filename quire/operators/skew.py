@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: No more than so many keys can be heavy: a heavy key holds at least one in so many of all rows.
 HEAVY_KEYS = 10_000
@@ -23,3 +24,27 @@ def split_join(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, total:
     heavy = F.broadcast(keyed.where(F.col(n) >= heavy_limit(total)))
     light = keyed.where(F.col(n) < heavy_limit(total))
     return rows.join(heavy, on).unionByName(rows.join(heavy.select(*on), on, "left_anti").join(light, on))
+
+
+def carried(rows: DataFrame, group: str, bucket: str, order: list[str], value: str, out: str) -> DataFrame:
+    """The last non-null ``value`` up to each row, in the order of (bucket, *order) within group.
+
+    A group of any size is cut into its buckets: each bucket's last value travels alone, and only these, one row a
+    bucket, are ordered over the whole group.
+    """
+    within = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.where(F.col(value).isNotNull()).groupBy(group, bucket).agg(F.max_by(value, F.struct(*order)).alias("end_"))
+    ends = rows.select(group, bucket).distinct().join(ends, [group, bucket], "left")
+    before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(group, bucket, F.last("end_", ignorenulls=True).over(before).alias("before_"))
+    x = rows.withColumn(out, F.last(value, ignorenulls=True).over(within)).join(ends, [group, bucket])
+    return x.withColumn(out, F.coalesce(out, "before_")).drop("before_")
+
+
+def numbered(rows: DataFrame, group: str, bucket: str, order: list[str], out: str) -> DataFrame:
+    """1, 2, 3 ... in the order of (bucket, *order) within group, by bucket counts as in ``carried``."""
+    n = rows.groupBy(group, bucket).agg(F.count("*").alias("n_"))
+    before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    n = n.select(group, bucket, F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
+    x = rows.withColumn(out, F.row_number().over(Window.partitionBy(group, bucket).orderBy(*order)))
+    return x.join(n, [group, bucket]).withColumn(out, F.col(out) + F.col("before_")).drop("before_")

@@ -37,19 +37,23 @@ def _keywords(words: list[str]) -> Column:
     return F.array_compact(F.array(*(F.when(low.contains(w), F.lit(w)) for w in words)))
 
 
+def _typed(kind: str, found: Column) -> Column:
+    return F.transform(found, lambda x: F.struct(F.lit(kind).alias("entity_type"), x.alias("name")))
+
+
 def mentions(chunks: DataFrame) -> DataFrame:
-    """(document_id, ldu_idx, page, entity_type, entity_name): every mention; metrics and places once a chunk."""
+    """(document_id, ldu_idx, page, entity_type, written, entity_name): every mention, as written and in its common form; metrics and places once a chunk."""
     text = T.ascii_words("content")
     kinds = []
     for kind, p in PATTERNS.items():
         found = F.regexp_extract_all("content" if kind == "amount" else text, F.lit(p), F.lit(0))
         if kind == "organization":
             found = F.filter(found, lambda x: (F.length(x) >= 4) & ~F.lower(x).isin(METRICS))
-        kinds.append(F.transform(found, lambda x, k=kind: F.struct(F.lit(k).alias("entity_type"), x.alias("name"))))
+        kinds.append(_typed(kind, found))
     for kind, words in (("metric", METRICS), ("location", PLACES)):
-        kinds.append(F.transform(_keywords(words), lambda x, k=kind: F.struct(F.lit(k).alias("entity_type"), x.alias("name"))))
+        kinds.append(_typed(kind, _keywords(words)))
     x = chunks.select("document_id", "ldu_idx", F.coalesce(F.try_element_at("page_refs", F.lit(1)), F.lit(1)).alias("page"), F.explode(F.concat(*kinds)).alias("e"))
-    return x.select("document_id", "ldu_idx", "page", "e.entity_type", _named(F.col("e.name")).alias("entity_name")).where("entity_name <> ''")
+    return x.select("document_id", "ldu_idx", "page", "e.entity_type", T.squeeze(F.col("e.name")).alias("written"), _named(F.col("e.name")).alias("entity_name")).where("entity_name <> ''")
 
 
 def entities(chunks: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # Thresholds and word lists.
 SAMPLE_PAGES, DOMAIN_PAGES = 5, 2
 NATIVE_DENSITY, SCANNED_SHARE = 0.001, 0.7
@@ -141,7 +143,7 @@ def escalate(pages: DataFrame, chains: DataFrame, tries: DataFrame) -> DataFrame
     A document goes on to the next way while its confidence is below the way's least; then only with its weak pages, if it has any.
     The loop has at most four steps, one for each way; each step is one plan over all documents.
     """
-    todo = pages.select("document_id", "page_number").distinct()
+    todo, tries, chains = cut(pages.select("document_id", "page_number").distinct()), cut(tries), cut(chains)
     steps = []
     for depth in range(len(TIERS)):
         at = chains.where(F.size("chain") > depth).select("document_id", F.element_at("chain", depth + 1).alias("strategy"), (F.size("chain") > depth + 1).alias("more"))
@@ -154,6 +156,7 @@ def escalate(pages: DataFrame, chains: DataFrame, tries: DataFrame) -> DataFrame
         x = x.withColumn("escalated", F.col("more") & (F.coalesce("confidence", F.lit(0.0)) < least)).withColumn("depth", F.lit(depth))
         steps.append(x.drop("more", "any_weak"))
         todo = got.join(x.where("escalated").select("document_id", "any_weak"), "document_id").where("weak OR NOT any_weak").select("document_id", "page_number")
+        todo = cut(todo)  # else each step would repeat all before it
     out = steps[0]
     for s in steps[1:]:
         out = out.unionByName(s)

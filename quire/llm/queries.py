@@ -127,6 +127,11 @@ SQL = {
     + """, gone AS (SELECT chunk_id, list(line_no) gone FROM found GROUP BY 1)
     SELECT chunk_id, array_to_string([x[1] FOR x IN list_zip(string_split(content, chr(10)), generate_series(1, len(string_split(content, chr(10))))) IF gone IS NULL OR NOT list_contains(gone, x[2]::int)], chr(10)) AS content,
       coalesce(len(gone), 0)::int n_removed FROM once LEFT JOIN gone USING (chunk_id)""",
+    "p7_found": r"""WITH w AS (SELECT DISTINCT chunk_id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') w FROM chunks WHERE content IS NOT NULL AND chunk_id IS NOT NULL),
+      g AS (SELECT chunk_id, unnest(list_distinct([(w[i], w[i + 1], w[i + 2]) FOR i IN generate_series(1, len(w) - 2)])) g FROM w WHERE len(w) >= 25),
+      n AS (SELECT chunk_id, count(*) n FROM g GROUP BY 1),
+      c AS (SELECT a.chunk_id a, b.chunk_id b, count(*) k FROM g a JOIN g b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
+      SELECT c.a chunk_id_a, c.b chunk_id_b FROM c JOIN n x ON x.chunk_id = c.a JOIN n y ON y.chunk_id = c.b WHERE k >= 0.6 * (x.n + y.n - k)""",
     "p5_found": _FACTS + "SELECT a fact_id_a, fact_id fact_id_b FROM cases WHERE fact_id <> a",
     "p5_collapsed": _FACTS + "SELECT a fact_id, n n_copies FROM cases WHERE fact_id = a UNION ALL SELECT fact_id, 1 FROM canonical WHERE entity IS NULL OR k IS NULL OR v IS NULL OR k = '' OR v = ''",
 }

@@ -13,9 +13,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # Name of a unit, factor and offset to the common unit of its quantity.
 UNITS: dict[str, dict[str, tuple[float, float]]] = {
     "money": {"etb": (1, 0), "birr": (1, 0), "br": (1, 0), "ethiopian birr": (1, 0), "santim": (0.01, 0), "santims": (0.01, 0)},
@@ -124,10 +126,11 @@ def same_amount_pairs(common: DataFrame, tolerance: float = TOLERANCE) -> DataFr
     """
     key = ["entity", "metric", "period"]
     log = F.log(F.abs("amount"))
-    c = common.where(" AND ".join(f"{k} IS NOT NULL" for k in [*key, "amount", "factor"])).withColumn(
+    c = common.select("fact_id", *key, "factor", "offset", "amount").where(" AND ".join(f"{k} IS NOT NULL" for k in [*key, "amount", "factor"])).withColumn(
         "bucket", F.when(F.col("amount") == 0, F.lit(None).cast("long")).otherwise(F.floor(log / F.lit(tolerance * 1.1))).cast("long")
     )
     c = c.withColumn("bucket", F.coalesce("bucket", F.lit(-(2**60)))).withColumn("positive", F.col("amount") >= 0)
+    c = cut(c)  # used four times below
     combo = [*key, "factor", "offset", "amount", "bucket", "positive"]
     distinct = c.select(*combo).distinct()
     a = distinct.select(*key, "positive", *(F.col(k).alias(f"{k}_a") for k in ("factor", "offset", "amount", "bucket")), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))

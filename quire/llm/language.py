@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ CHANGE = 6.0
 
 _UNITS = "million|billion|thousand|mn|bn|tonnes?|km|ha|MWh|kWh|GWh|kg"
 # Names: three or more capitalised Latin words in a row, the last one maybe a company form.
-_NAME = re.compile(r"(?:\b[A-Z][a-z’'-]+ ){2,}(?:[A-Z][a-z’'-]+|PLC|SC)")
+_NAME = re.compile(r"(?:[A-Z][a-z’'-]+ ){2,}(?:[A-Z][a-z’'-]+|PLC|SC)")
 _QUOTED = re.compile(r"[“\"«„][^”\"»\n]{0,80}[”\"»]|\([^()\n]{0,60}\)")
 _FIGURE = re.compile(rf"\d(?:[\d.,]*\d)?%?(?: (?:{_UNITS})\b)?")
 _ENDS = re.compile(r"[.!?።]+(?=\s|$|[”\"»)])|\n")
@@ -92,9 +93,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def profiles(documents: DataFrame) -> dict[str, list[str]]:
     """The PROFILE_SIZE most frequent n-grams of each language, by rank: a bounded table, fitted on a bounded sample."""
-    x = documents.where("length(trim(text)) > 0").select(normal_label("lang").alias("lang"), "text", F.xxhash64("doc_id").alias("h")).where(F.col("lang").isin(LANGUAGES))
-    rank = F.expr("row_number() OVER (PARTITION BY lang ORDER BY h)")  # the window keeps the first rows of each partition before it shuffles
-    sample = x.withColumn("r", rank).where(F.col("r") <= PROFILE_DOCUMENTS).select("lang", "text")
+    x = documents.where("length(trim(text)) > 0").select(normal_label("lang").alias("lang"), "doc_id", F.xxhash64("doc_id").alias("h")).where(F.col("lang").isin(LANGUAGES))
+    rank = F.expr("row_number() OVER (PARTITION BY lang ORDER BY h, doc_id)")  # the window keeps the first rows of each partition before it shuffles
+    chosen = x.withColumn("r", rank).where(F.col("r") <= PROFILE_DOCUMENTS).select("lang", "doc_id")
+    # at most PROFILE_DOCUMENTS ids for each language are broadcast; texts stay where they are
+    sample = documents.where("length(trim(text)) > 0").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("lang", "text")
     n = sample.mapInArrow(_counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = n.withColumn("r", F.expr("row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram)")).where(F.col("r") <= PROFILE_SIZE)
     out: dict[str, list[str]] = {lang: [] for lang in LANGUAGES}
@@ -104,19 +107,26 @@ def profiles(documents: DataFrame) -> dict[str, list[str]]:
 
 
 class _Tokens(dict):
-    """The n-grams that any profile has of each token, and its number of words."""
+    """A number for each token; the n-grams that any profile has of it, and its number of words, lie in arrays by that number."""
 
     def __init__(self, ids: dict[str, int]) -> None:
         super().__init__()
-        self.ids = ids
+        self.ids, self.new = ids, []
+        self.grams, self.start, self.words = np.empty(0, np.int64), np.zeros(1, np.int64), np.empty(0, np.int64)
 
-    def __missing__(self, token: str) -> tuple[list[int], int]:
-        if len(self) > 400_000:
-            self.clear()
+    def __missing__(self, token: str) -> int:
         w = words_of(token)
-        x = self[token] = ([i for y in w for g in grams(y) if (i := self.ids.get(g)) is not None], len(w))
+        self.new.append(([i for y in w for g in grams(y) if (i := self.ids.get(g)) is not None], len(w)))
+        x = self[token] = len(self)
         return x
 
+    def settle(self) -> None:
+        if self.new:
+            self.grams = np.concatenate([self.grams, np.array([i for g, _ in self.new for i in g], np.int64)])
+            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(g) for g, _ in self.new])])
+            self.words = np.concatenate([self.words, [n for _, n in self.new]])
+            self.new = []
+
 
 class Identifier:
     def __init__(self, profile: dict[str, list[str]]) -> None:
@@ -128,38 +138,45 @@ class Identifier:
                 self.rank[self.ids[g], k] = r
         self.tokens = _Tokens(self.ids)
 
-    def sentences(self, text: str) -> tuple[list[list[int]], list[int]]:
-        """The n-grams of each sentence with words, and its number of words."""
-        ids, n = [], []
-        for s in sentences(text):
-            known = [self.tokens[t] for t in s]
-            if k := sum(x[1] for x in known):
-                ids.append([i for x in known for i in x[0]])
-                n.append(k)
-        return ids, n
-
-    def distances(self, per: list[list[int]]) -> np.ndarray:
-        """(sentences, languages): out-of-place distances, in units of the largest distance an n-gram can have.
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the sentences with words: how many each text has, their numbers of words, and their distances."""
+        if len(self.tokens) > 400_000:
+            self.tokens = _Tokens(self.ids)
+        docs = [sentences(t) for t in texts]
+        per_doc = np.array([len(x) for x in docs], np.int64)
+        all_ = [s for x in docs for s in x]
+        length = np.array([len(s) for s in all_], np.int64)
+        token = np.fromiter(map(self.tokens.__getitem__, chain.from_iterable(all_)), np.int64, int(length.sum()))
+        self.tokens.settle()
+        sentence = np.repeat(np.arange(len(all_)), length)
+        n_words = np.bincount(sentence, weights=self.tokens.words[token], minlength=len(all_)).astype(np.int64)
+        kept = n_words > 0
+        number = np.cumsum(kept) - 1
+        # every token's n-grams, one after the other
+        first, size = self.tokens.start[token], self.tokens.start[token + 1] - self.tokens.start[token]
+        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+        of = np.repeat(sentence, size)
+        ok = kept[of]
+        d = self.distances(number[of][ok], self.tokens.grams[place][ok], int(kept.sum()))
+        return np.bincount(np.repeat(np.arange(len(docs)), per_doc)[kept], minlength=len(docs)), n_words[kept], d
+
+    def distances(self, sentence: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
+        """(n, languages): out-of-place distances of n sentences, in units of the largest distance an n-gram can have.
 
         An n-gram in no profile is as far from every language, so it is left out.
         """
-        n = np.array([len(p) for p in per])
-        out = np.zeros((len(per), len(self.languages)))
-        if not n.sum():
+        out = np.zeros((n, len(self.languages)))
+        if not len(gram):
             return out
         base = len(self.ids) + 1
-        flat = np.fromiter((i for p in per for i in p), np.int64, int(n.sum())) + np.repeat(np.arange(len(per)), n) * base
-        key, count = np.unique(flat, return_counts=True)
+        key, count = np.unique(sentence * base + gram, return_counts=True)
         sentence, gram = key // base, key % base
-        order = np.lexsort((-count, sentence))
-        sentence, gram, count = sentence[order], gram[order], count[order]
-        # rank within the sentence by count, equal counts at their mean rank
+        # rank within the sentence by count, equal counts at their mean rank: how many have more, and half of those with as many
+        k = int(count.max()) + 1
+        same = np.bincount(sentence * k + count, minlength=n * k).reshape(n, k)
+        more = same[:, ::-1].cumsum(axis=1)[:, ::-1] - same
+        own = (more + (same - 1) / 2).astype(np.float32)[sentence, count]
         first = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
-        size = np.diff(np.r_[first, len(key)])
-        place = np.arange(len(key)) - np.repeat(first, size)
-        tie = np.flatnonzero(np.r_[True, (sentence[1:] != sentence[:-1]) | (count[1:] != count[:-1])])
-        ties = np.diff(np.r_[tie, len(key)])
-        own = np.repeat(place[tie] + (ties - 1) / 2, ties).astype(np.float32)
         d = np.abs(own[:, None] - self.rank[gram]) / PROFILE_SIZE
         out[sentence[first]] = np.add.reduceat(d, first, axis=0)
         return out
@@ -189,14 +206,15 @@ def _identified(profile: dict[str, list[str]]):  # noqa: ANN202
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                docs = [who.sentences(t) for t in b.column(1).to_pylist()]
-                d = who.distances([s for x, _ in docs for s in x]) if who.languages else None
+                if not who.languages:
+                    continue
+                n_sentences, n_words, d = who.read(b.column(1).to_pylist())
                 rows: list[list] = [[] for _ in range(7)]
                 pos = 0
-                for i, (x, words) in zip(b.column(0).to_pylist(), docs):
-                    own = d[pos : pos + len(x)] if d is not None else None
-                    pos += len(x)
-                    if not x or own is None:
+                for i, n in zip(b.column(0).to_pylist(), n_sentences.tolist()):
+                    own, words = d[pos : pos + n], n_words[pos : pos + n]
+                    pos += n
+                    if not n:
                         continue
                     path = best_path(own)
                     start = 0
@@ -206,7 +224,7 @@ def _identified(profile: dict[str, list[str]]):  # noqa: ANN202
                             best = total[path[start]]
                             other = np.delete(total, path[start]).min() if len(total) > 1 else best + 1
                             sure = float(np.clip((other - best) / other, 0, 1)) if other > 0 else 0.0
-                            for c, v in zip(rows, (i, len(rows[0]), who.languages[path[start]], start, k - start, sum(words[start:k]), sure)):
+                            for c, v in zip(rows, (i, len(rows[0]), who.languages[path[start]], start, k - start, int(words[start:k].sum()), sure)):
                                 c.append(v)
                             start = k
                 kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]

@@ -137,8 +137,16 @@ def _key(m: np.ndarray, tree: int, path: list[int]) -> np.ndarray:
 
 
 def _sketch(m: np.ndarray) -> np.ndarray:
+    """4 bits of each token, 16 tokens a column."""
     low = (m ^ (m >> 13)).astype(np.uint8) & 15
-    return low[:, ::2] | (low[:, 1::2] << 4)
+    return np.ascontiguousarray(low[:, ::2] | (low[:, 1::2] << 4)).view(np.int64)
+
+
+_SKETCH = [f"s{i}" for i in range(TOKENS // 16)]
+
+
+def _sketches(b: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return np.stack([b.column(c).to_numpy() for c in _SKETCH], axis=1).view(np.uint64)
 
 
 def _branched(trees: int, depth: int, first: int, full: bool):  # noqa: ANN202
@@ -149,19 +157,19 @@ def _branched(trees: int, depth: int, first: int, full: bool):  # noqa: ANN202
             for at in range(0, whole.num_rows, 4000):
                 b = whole.slice(at, 4000)
                 m = _bytes(b.column(1), 4 * TOKENS).copy().view(np.uint32)
-                s = _fixed(_sketch(m), TOKENS // 2) if full else None
+                s = [pa.array(x) for x in _sketch(m).T.copy()] if full else []
                 for t, path, parent in paths:
                     cols = [pa.array(_key(m, t, path))]
                     if depth > first:
                         cols.append(pa.array(_key(m, t, parent)))
                     if full:
-                        cols += [b.column(0), s]
-                    yield pa.RecordBatch.from_arrays(cols, names=["node", *["parent"] * (depth > first), *["cls", "sketch"] * full])
+                        cols += [b.column(0), *s]
+                    yield pa.RecordBatch.from_arrays(cols, names=["node", *["parent"] * (depth > first), *["cls", *_SKETCH] * full])
 
     return run
 
 
-# A pair passes if so many of the 64 tokens agree in 4 bits: three standard deviations below what the threshold makes likely.
+# A pair passes if so many of the tokens agree in 4 bits: three standard deviations below what the threshold makes likely.
 def _agreeing(threshold: float) -> int:
     p = threshold + (1 - threshold) / 16
     return math.floor(TOKENS * p - 3.2 * math.sqrt(TOKENS * p * (1 - p)))
@@ -209,7 +217,7 @@ def _compared(least: int):  # noqa: ANN202
 
         for b in batches:
             if b.num_rows:
-                held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), _bytes(b.column(2), TOKENS // 2).copy().view(np.uint64)))
+                held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), _sketches(b)))
                 n += b.num_rows
             if n >= 100_000:
                 yield from work(False)
@@ -223,7 +231,7 @@ def _blocks(least: int):  # noqa: ANN202
     """Pairs of one block with itself or another: side 0 against side 1, or side 0 with itself."""
 
     def run(f: pa.Table) -> pa.Table:
-        cls, sketch, side = f.column("cls").to_numpy(), _bytes(f.column("sketch"), TOKENS // 2).copy().view(np.uint64), f.column("side").to_numpy()
+        cls, sketch, side = f.column("cls").to_numpy(), _sketches(f), f.column("side").to_numpy()
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for k, i in enumerate(left):
@@ -246,7 +254,7 @@ def candidates(unique: DataFrame, n: int, threshold: float) -> DataFrame:
     chance = threshold**first * (1 - (1 - threshold) ** BRANCH)  # one level of further branching
     trees = math.ceil(math.log(1 - RECALL) / math.log(1 - chance))
     least = _agreeing(threshold)
-    rows = "node long, {}cls long, sketch binary"
+    rows = "node long, {}cls long, " + ", ".join(f"{c} long" for c in _SKETCH)
     found, large = None, None
     for depth in range(first, DEEPEST + first - 1):
         up = "parent long, " if depth > first else ""
@@ -256,7 +264,7 @@ def candidates(unique: DataFrame, n: int, threshold: float) -> DataFrame:
             count, full = (x.join(large.withColumnRenamed("node", "parent"), "parent", "left_semi") for x in (count, full))
         larger = cut(count.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > LIMIT).select("node"))
         n_large = larger.count()
-        full = full.select("node", "cls", "sketch")
+        full = full.select("node", "cls", *_SKETCH)
         small = full.join(_small(larger, n_large), "node", "left_anti") if n_large else full
         pairs = small.repartition("node").sortWithinPartitions("node").mapInArrow(_compared(least), "a long, b long")
         found = pairs if found is None else found.unionByName(pairs)
@@ -268,7 +276,7 @@ def candidates(unique: DataFrame, n: int, threshold: float) -> DataFrame:
     blocks = rest.groupBy("node").agg(F.ceil(F.count("*") / LIMIT).cast("int").alias("g"))
     rest = rest.join(blocks, "node").withColumn("i", F.expr("cast(pmod(xxhash64(cls, 7), g) AS int)"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select(
-        "node", F.least("i", "other").alias("x"), F.greatest("i", "other").alias("y"), (F.col("i") > F.col("other")).cast("int").alias("side"), "cls", "sketch"
+        "node", F.least("i", "other").alias("x"), F.greatest("i", "other").alias("y"), (F.col("i") > F.col("other")).cast("int").alias("side"), "cls", *_SKETCH
     )
     return found.unionByName(rest.groupBy("node", "x", "y").applyInArrow(_blocks(least), "a long, b long")).distinct()
 
@@ -305,23 +313,23 @@ class Join:
         side = _small(repeated, some)
         once = self.signed.select("cls", "minwise")
         self.unique = once.join(side, "cls", "left_anti").unionByName(once.join(side, "cls", "left_semi").groupBy("cls").agg(F.first("minwise").alias("minwise")))
-        self.members = self.signed.select("id", "cls").distinct()
-        self.classes = self.members.groupBy("cls").agg(F.min("id").alias("representative"), F.count("*").alias("size"))
+        self.members = cut(self.signed.select("id", "cls").distinct())
+        self.classes = cut(self.members.groupBy("cls").agg(F.min("id").alias("representative"), F.count("*").alias("size")))
 
     def links(self) -> DataFrame:
         """(a, b, similarity): verified pairs of different classes."""
         pairs = cut(candidates(self.unique, self.signed.count(), self.threshold))
-        of = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(self.classes, "cls")
-        text = cut(of.select("cls", F.col("representative").alias("id")).join(self.texts.dropDuplicates(["id"]), "id").select("cls", "text"))
+        of = cut(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(self.classes, "cls").select("cls", F.col("representative").alias("id")))
+        # only the texts of candidates travel, each once
+        text = cut(self.texts.join(_small(of, of.count()), "id").select("cls", "text").dropDuplicates(["cls"]))
         x = pairs.join(text.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").join(text.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
         return x.select("a", "b", "text_a", "text_b").mapInArrow(_verified(self.n, self.threshold), "a long, b long, similarity double")
 
     def pairs(self) -> DataFrame:
         """(id_a, id_b; id_a < id_b): members of linked classes and of one class; classes beyond STAR members by their representative."""
-        small = self.classes.where(F.col("size") <= STAR).select("cls").join(self.members, "cls")
-        ends = small.unionByName(self.classes.where(F.col("size") > STAR).select("cls", F.col("representative").alias("id")))
-        across = self.links().join(ends.select(F.col("cls").alias("a"), F.col("id").alias("id_a")), "a").join(ends.select(F.col("cls").alias("b"), F.col("id").alias("id_b")), "b").select("id_a", "id_b")
         several = self.classes.where(f"size > 1 AND size <= {STAR}").select("cls").join(self.members, "cls")
+        ends = self.classes.where(f"size = 1 OR size > {STAR}").select("cls", F.col("representative").alias("id")).unionByName(several)
+        across = self.links().join(ends.select(F.col("cls").alias("a"), F.col("id").alias("id_a")), "a").join(ends.select(F.col("cls").alias("b"), F.col("id").alias("id_b")), "b").select("id_a", "id_b")
         within = several.select("cls", F.col("id").alias("id_a")).join(several.select("cls", F.col("id").alias("id_b")), "cls").where("id_a < id_b").select("id_a", "id_b")
         large = self.classes.where(F.col("size") > STAR)
         star = self.members.join(F.broadcast(large) if large.count() <= BROADCAST_NODES else large, "cls").where("id <> representative").select(F.col("representative").alias("id_a"), F.col("id").alias("id_b"))

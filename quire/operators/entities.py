@@ -1,7 +1,8 @@
 """Names in chunks and the graph of facts, names on one page, and references.
 
 Defined cases: null content has no names; blank names are dropped; names are compared in title case with single blanks;
-of equal edges the first counts: from facts, then from pages, then from references, then by page and order.
+of equal edges the first counts: from facts, then from pages, then from references, then by page and order. With facts, their entities, metrics and
+periods are names as well; a fact without a page names nothing on a page, and page 0 is none.
 """
 
 from __future__ import annotations
@@ -56,9 +57,22 @@ def mentions(chunks: DataFrame) -> DataFrame:
     return x.select("document_id", "ldu_idx", "page", "e.entity_type", T.squeeze(F.col("e.name")).alias("written"), _named(F.col("e.name")).alias("entity_name")).where("entity_name <> ''")
 
 
-def entities(chunks: DataFrame) -> DataFrame:
+def fact_names(facts: DataFrame) -> DataFrame:
+    """(document_id, page, entity_type, entity_name): entity, metric and period of each fact as organisation, metric and date. facts: once each."""
+    kinds = F.array(*(F.struct(F.lit(k).alias("entity_type"), F.col(c).alias("name")) for k, c in (("organization", "entity"), ("metric", "metric"), ("date", "period"))))
+    x = facts.select("document_id", F.col("page_ref").alias("page"), F.explode(kinds).alias("e"))
+    return x.select("document_id", "page", "e.entity_type", _named(F.col("e.name")).alias("entity_name")).where("entity_name <> ''")
+
+
+def names(chunks: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """(document_id, page, entity_type, entity_name): every mention in chunks, and in facts where they are given."""
+    x = mentions(chunks).select("document_id", "page", "entity_type", "entity_name")
+    return x if facts is None else x.unionByName(fact_names(facts))
+
+
+def entities(chunks: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """(document_id, entity_type, entity_name, n_mentions, first_page)."""
-    return mentions(chunks).groupBy("document_id", "entity_type", "entity_name").agg(F.count("*").alias("n_mentions"), F.min("page").alias("first_page"))
+    return names(chunks, facts).groupBy("document_id", "entity_type", "entity_name").agg(F.count("*").alias("n_mentions"), F.min("page").alias("first_page"))
 
 
 def fact_edges(facts: DataFrame) -> DataFrame:
@@ -69,14 +83,14 @@ def fact_edges(facts: DataFrame) -> DataFrame:
     return metric.unionByName(period)
 
 
-def page_edges(chunks: DataFrame) -> DataFrame:
-    """Each name on a page with the next NEIGHBOURS names of the page in alphabetical order."""
-    names = mentions(chunks).where("entity_type = 'organization'").select("document_id", "page", "entity_name").distinct()
+def page_edges(chunks: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Each name on a page with the next NEIGHBOURS names of the page in alphabetical order: organisations, or with facts the names of every type."""
+    found = names(chunks).where("entity_type = 'organization'") if facts is None else names(chunks, facts).where("page <> 0")
+    once = found.select("document_id", "page", "entity_name").distinct()
     # a page's names: a bounded group
-    x = names.withColumn("r", F.expr("row_number() OVER (PARTITION BY document_id, page ORDER BY entity_name)"))
-    a = x.select("document_id", "page", F.col("entity_name").alias("source"), F.explode(F.sequence(F.col("r") + 1, F.col("r") + NEIGHBOURS)).alias("r"))
-    b = x.select("document_id", "page", F.col("entity_name").alias("target"), "r")
-    return a.join(b, ["document_id", "page", "r"]).select("document_id", "source", F.lit("co_occurs_with").alias("relation"), "target", F.col("page").alias("page_ref"), F.lit(0.5).alias("confidence"))
+    following = [F.expr(f"lead(entity_name, {k}) OVER (PARTITION BY document_id, page ORDER BY entity_name)") for k in range(1, NEIGHBOURS + 1)]
+    x = once.withColumn("next", F.array_compact(F.array(*following))).where("document_id IS NOT NULL AND page IS NOT NULL")
+    return x.select("document_id", F.col("entity_name").alias("source"), F.lit("co_occurs_with").alias("relation"), F.explode("next").alias("target"), F.col("page").alias("page_ref"), F.lit(0.5).alias("confidence"))
 
 
 def reference_edges(chunks: DataFrame) -> DataFrame:
@@ -85,9 +99,16 @@ def reference_edges(chunks: DataFrame) -> DataFrame:
     return x.select("document_id", F.concat(F.lit("page:"), "page_ref").alias("source"), F.concat(F.lit("references_"), "x.target_type").alias("relation"), F.col("x.target_label").alias("target"), "page_ref", F.lit(0.4).alias("confidence"))
 
 
-def graph(facts: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Every edge once per document: the first of its kind, page and confidence."""
-    kinds = [e.withColumn("kind", F.lit(i)) for i, e in enumerate((fact_edges(facts), page_edges(chunks), reference_edges(chunks)))]
+def graph(facts: DataFrame, chunks: DataFrame, every_name: bool = False) -> DataFrame:
+    """Every edge once per document: the first of its kind, page and confidence.
+
+    every_name: pages pair the names of every type, those of facts among them, and edges from facts hold names in their common form, so
+    that both meet in one node; else pages pair organisations only and edges from facts hold names as written.
+    """
+    of_facts = fact_edges(facts)
+    if every_name:
+        of_facts = of_facts.withColumns({c: _named(F.col(c)) for c in ("source", "target")}).where("source <> '' AND target <> ''")
+    kinds = [e.withColumn("kind", F.lit(i)) for i, e in enumerate((of_facts, page_edges(chunks, facts if every_name else None), reference_edges(chunks)))]
     x = reduce(DataFrame.unionByName, kinds)
     first = F.min(F.struct("kind", "page_ref", (-F.col("confidence")).alias("c")))
     x = x.groupBy("document_id", "source", "relation", "target").agg(first.alias("f"))

@@ -326,6 +326,29 @@ def knowledge_graph(spark: SparkSession, d: str) -> DataFrame:
     return entities.graph(_facts(spark, d), _fact_chunks(spark, d))
 
 
+# The same with the names of every type and those of facts.
+_EVERY_NAME = f"""{_MENTIONS}, {_FACT_EDGES}, fw AS (SELECT document_id, page_ref page, unnest(['organization', 'metric', 'date']) entity_type, unnest([entity, metric, period]) w FROM f WHERE fact_id IS NOT NULL),
+    every AS (SELECT * FROM named WHERE entity_name <> '' UNION ALL SELECT * FROM (SELECT document_id, page, entity_type, {_TITLE(f"regexp_replace({T.sql_strip('w')}, '{B}+', ' ', 'g')")} entity_name FROM fw WHERE w IS NOT NULL) WHERE entity_name <> '')"""
+_COMMON = lambda c: _TITLE(f"regexp_replace({T.sql_strip(c)}, '{B}+', ' ', 'g')")
+
+
+@query(_EVERY_NAME + " SELECT document_id, entity_type, entity_name, count(*) n_mentions, min(page) first_page FROM every GROUP BY 1, 2, 3")
+def entity_names_with_facts(spark: SparkSession, d: str) -> DataFrame:
+    return entities.entities(_fact_chunks(spark, d), _facts(spark, d))
+
+
+@query(
+    f"""{_EVERY_NAME}, names AS (SELECT *, row_number() OVER (PARTITION BY document_id, page ORDER BY entity_name) r FROM (SELECT DISTINCT document_id, page, entity_name FROM every WHERE page <> 0)),
+    pe AS (SELECT x.document_id, x.entity_name source, 'co_occurs_with' relation, y.entity_name target, x.page page_ref, 0.5 confidence FROM names x JOIN names y ON x.document_id = y.document_id AND x.page = y.page AND y.r - x.r BETWEEN 1 AND 5),
+    ce AS (SELECT * FROM (SELECT document_id, {_COMMON('source')} source, relation, {_COMMON('target')} target, page_ref, confidence FROM fe) WHERE source <> '' AND target <> ''),
+    {_XREF_CTES}, re AS (SELECT document_id, 'page:' || page, 'references_' || target_type, target_label, page, 0.4 FROM typed),
+    e AS (SELECT 0 kind, * FROM ce UNION ALL SELECT 1, * FROM pe UNION ALL SELECT 2, * FROM re)
+    SELECT DISTINCT ON (document_id, source, relation, target) document_id, source, relation, target, page_ref, confidence::double confidence FROM e ORDER BY document_id, source, relation, target, kind, page_ref, confidence DESC"""
+)
+def knowledge_graph_of_every_name(spark: SparkSession, d: str) -> DataFrame:
+    return entities.graph(_facts(spark, d), _fact_chunks(spark, d), every_name=True)
+
+
 # Triage. Pages are made of blocks: text, and the boxes of figures and tables, on pages of 612 by 792; words are the scanned lines.
 
 

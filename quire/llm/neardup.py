@@ -2,7 +2,7 @@
 
 Texts of one word sequence are one class. Each class gets 64 minwise tokens of its word n-grams. A tree branches the
 classes by the tokens at coordinates it selects: a node holds those that agree on all coordinates of its path. Nodes of
-at most LIMIT classes are compared exhaustively, by 4 bits of each token; larger ones are branched further, by two more
+at most LIMIT classes are compared exhaustively, by 4 bits of each token; larger ones are branched further, by three more
 coordinates. Independent trees are repeated until pairs at the threshold are found with probability RECALL. Nodes
 still large at the deepest level hold texts that are mostly alike; they are compared block by block. All pairs that pass
 the comparison of tokens are verified on their texts.
@@ -30,10 +30,10 @@ from ..session import cut
 
 TOKENS = 64
 LIMIT = 300
-#: Coordinates by which a large node is branched further.
-BRANCH = 2
+#: Coordinates by which a large node is branched further, and how often.
+BRANCH = 3
+LEVELS = 3
 RECALL = 0.985
-DEEPEST = 6
 #: How alike two unlike texts are on average, at most; only the first depth and the number of trees depend on it.
 BACKGROUND = 0.05
 STAR = 64
@@ -116,24 +116,14 @@ def _signed(n: int, least_words: int):  # noqa: ANN202
     return run
 
 
-def _paths(tree: int, depth: int, first: int) -> list[tuple[list[int], list[int] | None]]:
-    """Coordinates of each node of a tree at a depth, and of its parent."""
-    order = np.random.default_rng(1000 + tree).permutation(TOKENS).tolist()
-    out: list[list[int]] = [order[:first]]
-    parents: list[list[int] | None] = [None]
-    at = first
-    for _ in range(first, depth):
-        parents = [p for p in out for _ in range(BRANCH)]
-        out = [[*p, order[(at + b) % TOKENS]] for p in out for b in range(BRANCH)]
-        at += BRANCH
-    return list(zip(out, parents))
+def _order(tree: int) -> list[int]:
+    """The coordinates that a tree selects, in order."""
+    return np.random.default_rng(1000 + tree).permutation(TOKENS).tolist()
 
 
-def _key(m: np.ndarray, tree: int, path: list[int]) -> np.ndarray:
-    k = np.full(len(m), tree + 1, np.uint64)
-    for c in path:
-        k = _mixed(k * _MIX + m[:, c] + np.uint64(c << 40))
-    return k.view(np.int64)
+def _extended(k: np.ndarray, m: np.ndarray, c: int) -> np.ndarray:
+    """The keys of nodes whose path goes on by the token at coordinate c."""
+    return _mixed(k * _MIX + m[:, c] + np.uint64(c << 40))
 
 
 def _sketch(m: np.ndarray) -> np.ndarray:
@@ -149,22 +139,54 @@ def _sketches(b: pa.RecordBatch | pa.Table) -> np.ndarray:
     return np.stack([b.column(c).to_numpy() for c in _SKETCH], axis=1).view(np.uint64)
 
 
-def _branched(trees: int, depth: int, first: int, full: bool):  # noqa: ANN202
-    paths = [(t, *p) for t in range(trees) for p in _paths(t, depth, first)]
+def _minwise(c: pa.Array) -> np.ndarray:
+    return _bytes(c, 4 * TOKENS).copy().view(np.uint32)
+
+
+def _rooted(trees: int, first: int, sketched: bool):  # noqa: ANN202
+    """(node, tree, cls) of every class in each tree's first nodes, or (node, cls, sketch)."""
+    orders = [_order(t)[:first] for t in range(trees)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 4000):
-                b = whole.slice(at, 4000)
-                m = _bytes(b.column(1), 4 * TOKENS).copy().view(np.uint32)
-                s = [pa.array(x) for x in _sketch(m).T.copy()] if full else []
-                for t, path, parent in paths:
-                    cols = [pa.array(_key(m, t, path))]
-                    if depth > first:
-                        cols.append(pa.array(_key(m, t, parent)))
-                    if full:
-                        cols += [b.column(0), *s]
-                    yield pa.RecordBatch.from_arrays(cols, names=["node", *["parent"] * (depth > first), *["cls", *_SKETCH] * full])
+            for at in range(0, whole.num_rows, 8000):
+                b = whole.slice(at, 8000)
+                m, cls = _minwise(b.column(1)), b.column(0)
+                s = [pa.array(x) for x in _sketch(m).T.copy()] if sketched else []
+                for t, path in enumerate(orders):
+                    k = np.full(len(m), t + 1, np.uint64)
+                    for c in path:
+                        k = _extended(k, m, c)
+                    node = pa.array(k.view(np.int64))
+                    if sketched:
+                        yield pa.RecordBatch.from_arrays([node, cls, *s], names=["node", "cls", *_SKETCH])
+                    else:
+                        yield pa.RecordBatch.from_arrays([node, pa.array(np.full(len(m), t, np.int32)), cls], names=["node", "tree", "cls"])
+
+    return run
+
+
+def _branched(first: int, level: int, sketched: bool):  # noqa: ANN202
+    """Members (node, tree, cls, minwise) of large nodes in those nodes' children, as they are or with their sketch in place of the rest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders: dict[int, list[int]] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 8000):
+                b = whole.slice(at, 8000)
+                node, tree, m = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), _minwise(b.column(3))
+                s = [pa.array(x) for x in _sketch(m).T.copy()] if sketched else []
+                for child in range(BRANCH):
+                    k = np.empty_like(node)
+                    for t in np.unique(tree).tolist():
+                        c = orders.setdefault(t, _order(t))[(first + level * BRANCH + child) % TOKENS]
+                        of = tree == t
+                        k[of] = _extended(node[of], m[of], c)
+                    new = pa.array(k.view(np.int64))
+                    if sketched:
+                        yield pa.RecordBatch.from_arrays([new, b.column(2), *s], names=["node", "cls", *_SKETCH])
+                    else:
+                        yield pa.RecordBatch.from_arrays([new, b.column(1), b.column(2), b.column(3)], names=["node", "tree", "cls", "minwise"])
 
     return run
 
@@ -248,29 +270,47 @@ def _small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_NODES else df
 
 
+def survival(threshold: float, levels: int = LEVELS) -> float:
+    """The chance that a pair of that similarity in a node is together in one at least of its descendants, so many levels down."""
+    q = 1.0
+    for _ in range(levels):
+        q = 1 - (1 - threshold * q) ** BRANCH
+    return q
+
+
 def candidates(unique: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(a, b; a < b) distinct pairs of classes whose tokens agree enough. unique: (cls, minwise), n of them about."""
+    """(a, b; a < b) distinct pairs of classes whose tokens agree enough. unique: (cls, minwise), n of them about.
+
+    Every class is put into the first nodes of each tree; only members of nodes larger than LIMIT go further down, with
+    their tokens, so a level costs as much as there are such members.
+    """
     first = max(2, round(math.log(max(n, LIMIT) / LIMIT) / -math.log(BACKGROUND)))
-    chance = threshold**first * (1 - (1 - threshold) ** BRANCH)  # one level of further branching
+    chance = threshold**first * survival(threshold)
     trees = math.ceil(math.log(1 - RECALL) / math.log(1 - chance))
     least = _agreeing(threshold)
-    rows = "node long, {}cls long, " + ", ".join(f"{c} long" for c in _SKETCH)
-    found, large = None, None
-    for depth in range(first, DEEPEST + first - 1):
-        up = "parent long, " if depth > first else ""
-        count = unique.mapInArrow(_branched(trees, depth, first, False), f"node long{', parent long' if up else ''}")
-        full = unique.mapInArrow(_branched(trees, depth, first, True), rows.format(up))
-        if large is not None:
-            count, full = (x.join(large.withColumnRenamed("node", "parent"), "parent", "left_semi") for x in (count, full))
-        larger = cut(count.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > LIMIT).select("node"))
+    sketches = ", ".join(f"{c} long" for c in _SKETCH)
+    found, members = None, None
+    for level in range(LEVELS + 1):
+        if members is None:
+            rooted = unique.mapInArrow(_rooted(trees, first, False), "node long, tree int, cls long")
+            nodes, full = rooted.select("node"), unique.mapInArrow(_rooted(trees, first, True), f"node long, cls long, {sketches}")
+        else:
+            own = members.mapInArrow(_branched(first, level - 1, False), "node long, tree int, cls long, minwise binary")
+            nodes, full = own.select("node"), members.mapInArrow(_branched(first, level - 1, True), f"node long, cls long, {sketches}")
+        larger = cut(nodes.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > LIMIT).select("node"))
         n_large = larger.count()
-        full = full.select("node", "cls", *_SKETCH)
-        small = full.join(_small(larger, n_large), "node", "left_anti") if n_large else full
+        large = _small(larger, n_large)
+        small = full.join(large, "node", "left_anti") if n_large else full
         pairs = small.repartition("node").sortWithinPartitions("node").mapInArrow(_compared(least), "a long, b long")
         found = pairs if found is None else found.unionByName(pairs)
         if not n_large:
             return found.distinct()
-        large = _small(larger, n_large)
+        if level == LEVELS:
+            break
+        if members is None:
+            members = cut(rooted.join(large, "node", "left_semi").join(unique, "cls").select("node", "tree", "cls", "minwise"))
+        else:
+            members = cut(own.join(large, "node", "left_semi"))
     # What is left is alike to the last coordinate: block against block, each pair of blocks a group of its own.
     rest = full.join(large, "node", "left_semi")
     blocks = rest.groupBy("node").agg(F.ceil(F.count("*") / LIMIT).cast("int").alias("g"))
@@ -336,6 +376,12 @@ class Join:
         both = across.unionByName(within).unionByName(star)
         return both.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
 
+    def class_links(self) -> DataFrame:
+        """(class_a, class_b, similarity; class_a < class_b): verified pairs of different classes by their smallest ids; none is left out, whatever the classes' sizes."""
+        c = self.classes
+        x = self.links().join(c.select(F.col("cls").alias("a"), F.col("representative").alias("ra")), "a").join(c.select(F.col("cls").alias("b"), F.col("representative").alias("rb")), "b")
+        return x.select(F.least("ra", "rb").alias("class_a"), F.greatest("ra", "rb").alias("class_b"), "similarity").distinct()
+
     def report(self) -> DataFrame:
         """(id, class_id, class_size, n_links): every text with its class and the number of other classes it is linked to."""
         links = self.links()

@@ -73,6 +73,11 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     return _near(spark, d).report().toDF("chunk_id", "class_id", "class_size", "n_links")
 
 
+def p7_links(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of classes of equal texts that are near to each other, by their representatives; with p7_groups they give every link."""
+    return _near(spark, d).class_links()
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode(table(spark, d, "documents"))
@@ -98,7 +103,7 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     return language.segments(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p2_repaired, p5_found, p5_collapsed, p6_found, p6_restored, p7_found, p7_groups, p8_ids, p9_pack, p9_summary, p10_found, p10_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p2_repaired, p5_found, p5_collapsed, p6_found, p6_restored, p7_found, p7_groups, p7_links, p8_ids, p9_pack, p9_summary, p10_found, p10_segments)}
 
 _LINES = r"""
 WITH once AS (SELECT DISTINCT chunk_id, document_id, content FROM chunks WHERE chunk_id IS NOT NULL),

@@ -150,6 +150,8 @@ def test_near_copies_against_brute_force(spark, monkeypatch, limit):
     got = {tuple(r) for r in j.pairs().collect()}
     assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 40
     report = {r.id: r for r in j.report().collect()}
+    across = {tuple(r)[:2] for r in j.class_links().collect()}
+    assert across == {(min(a, b), max(a, b)) for x, y in got for a, b in [(report[x].class_id, report[y].class_id)] if a != b}
     assert report["copy1"].class_id == report["copy2"].class_id == "copy1" and report["copy1"].class_size == 3 and "short" not in report
 
 
@@ -164,7 +166,7 @@ def test_a_large_class_is_a_star(spark, monkeypatch):
 
 def test_dense_cluster_is_compared_block_by_block(spark, monkeypatch):
     monkeypatch.setattr(neardup, "LIMIT", 4)
-    monkeypatch.setattr(neardup, "DEEPEST", 2)
+    monkeypatch.setattr(neardup, "LEVELS", 1)
     base = [f"w{i}" for i in range(60)]
     data = [(f"t{i:02d}", " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(30)]
     df = spark.createDataFrame(data, "id string, text string")

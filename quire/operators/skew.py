@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+
 #: No more than so many keys can be heavy: a heavy key holds at least one in so many of all rows.
 HEAVY_KEYS = 10_000
 HEAVY_LEAST = 10_000
@@ -48,3 +50,16 @@ def numbered(rows: DataFrame, group: str, bucket: str, order: list[str], out: st
     n = n.select(group, bucket, F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
     x = rows.withColumn(out, F.row_number().over(Window.partitionBy(group, bucket).orderBy(*order)))
     return x.join(n, [group, bucket]).withColumn(out, F.col(out) + F.col("before_")).drop("before_")
+
+
+#: Keys that occur more than once are broadcast up to this count (about 50 MB), beyond it they are joined by shuffle.
+BROADCAST_KEYS = 500_000
+
+
+def once(rows: DataFrame, key: str) -> DataFrame:
+    """One row per key; rows of null keys are dropped. Keys alone are shuffled to find those that occur more than once, then only the rows of these."""
+    x = rows.where(F.col(key).isNotNull())
+    again = cut(x.groupBy(key).agg(F.count("*").alias("n_")).where("n_ > 1").select(key))
+    n = again.count()
+    side = F.broadcast(again) if n <= BROADCAST_KEYS else again
+    return x.join(side, key, "left_anti").unionByName(x.join(side, key, "left_semi").dropDuplicates([key])) if n else x

@@ -59,11 +59,55 @@ def test_blocks_of_several_lines(spark):
     c = spark.createDataFrame([(f"d{i}_0", f"d{i}", f"own {i} words\nNotice one\nNotice two\nNotice three\nother {i}x", None, 1, None) for i in range(4)], CHUNK)
     c = c.selectExpr("chunk_id", "document_id", "regexp_replace(content, '[0-9]', '') || chunk_id AS content")
     p = spark.createDataFrame([(f"d{i}", "s", 1) for i in range(4)], PROFILE)
-    got = {(r.line_no, r.n_lines, r.n) for r in lines.repeated_blocks(c, p).collect()}
-    assert (2, 2, 4) in got and (3, 2, 4) in got and (2, 1, 4) in got
+    # maximal blocks: the first line is the same in all without its number, and so is the last
+    assert {(r.line_no, r.n_lines, r.n) for r in lines.repeated_blocks(c, p).collect()} == {(1, 5, 4)}
     assert lines.lines_to_remove(c.limit(0), p).count() == 0 and lines.lines_to_remove(c, p.limit(0)).count() == 0
 
 
+def _blocks(df):
+    return {(r.chunk_id, r.line_no, r.n_lines, r.n) for r in df.collect()}
+
+
+def test_blocks_are_maximal_and_run_over_chunks(spark, monkeypatch):
+    rows = []
+    for i in "abcd":
+        rows += [(f"{i}0", i, 0, f"own {i * 3}\nNotice one\nNotice two\nNotice three\nend {i * 2}"), (f"{i}1", i, 1, f"start {i * 4}\nShared one"), (f"{i}2", i, 2, f"Shared two\nrest {i * 5}")]
+    rows += [("e0", "e", 0, "Notice two\n\nNotice three")]  # an empty line ends a block
+    c = spark.createDataFrame(rows, "chunk_id string, document_id string, ldu_idx long, content string").repartition(5)
+    p = spark.createDataFrame([(i, "s", 1) for i in "abcde"], PROFILE)
+    got = _blocks(lines.repeated_blocks(c, p))
+    want = {(f"{i}{k}", line, n, 4) for i in "abcd" for k, line, n in ((0, 2, 3), (1, 2, 2), (2, 1, 1))} | {("e0", 1, 1, 5), ("e0", 3, 1, 5)}
+    assert got == want
+    removed = {tuple(r) for r in lines.lines_to_remove(c, p).collect()}
+    assert removed == {(f"{i}{k}", line) for i in "abcd" for k, line in ((0, 2), (0, 3), (0, 4), (1, 2), (2, 1))} | {("e0", 1), ("e0", 3)}
+    monkeypatch.setattr(lines, "BUCKET", 1)  # every chunk of a document is ordered by another task
+    assert _blocks(lines.repeated_blocks(c, p)) == want
+
+
+def test_the_rows_come_from_the_common_prefixes(spark, monkeypatch):
+    rows = [(i, i, 0, f"Notice of {'xyz'[k % 3]}\nown {i * 9}") for k, i in enumerate("abcdefghi")]
+    c = spark.createDataFrame(rows, "chunk_id string, document_id string, ldu_idx long, content string").repartition(9)
+    p = spark.createDataFrame([(i, "s", 1) for i in "abcdefghi"], PROFILE)
+    assert lines.lines_to_remove(c, p).count() == 9
+    plain = lines._Piece.__init__
+
+    def without(self, batches):
+        plain(self, batches)
+        if self.n:
+            self.common[:] = 0
+
+    monkeypatch.setattr(lines._Piece, "__init__", without)
+    pieces = [r for r in lines._chunks_in_order(c, p).collect()]
+    assert len(pieces) == 9
+    import pyarrow as pa
+
+    table = lines._chunks_in_order(c, p).mapInArrow(lines._suffixes, lines._SUFFIX).toPandas().sort_values(["key", "doc"])
+    batch = pa.RecordBatch.from_pandas(table, schema=pa.schema([("key", pa.binary()), ("doc", pa.int64()), ("need", pa.int32()), ("chunk_id", pa.string()), ("line_no", pa.int32()), ("to_end", pa.int32())]), preserve_index=False)
+    assert sum(b.num_rows for b in lines._blocks({})(iter([batch]))) == 0
+    monkeypatch.undo()
+    assert sum(b.num_rows for b in lines._blocks({})(iter([batch]))) > 0
+
+
 FACT = "fact_id long, entity string, period string, unit string, key string, value string, hash string"
 
 

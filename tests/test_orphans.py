@@ -35,6 +35,34 @@ def test_heavy_keys_give_the_same(spark, rows, monkeypatch):
     assert rows(orphans.orphans(reference(spark, refs, targets), 300)) == light and len(light) > 100
 
 
+def test_a_hot_key_in_good_order_is_not_shuffled_by_key(spark, rows, monkeypatch):
+    monkeypatch.setattr(orphans, "HEAVY_LEAST", 50)
+    refs = [(str(i), "hot", T[5], 1) for i in range(200)] + [("x", "lost", T[5], 1), ("y", "k1", T[5], 1)]
+    r = reference(spark, refs, [("hot", T[0], None), ("k1", T[0], None)])
+    got = orphans.orphans(r, 202)
+    assert rows(got) == [("t", "x", "missing", "2021-06")]
+    counts = [tuple(x) for x in orphans.orphan_counts(r, 202).collect()]
+    assert counts == [("t", "2021-06", "missing", 1, 202)]
+    # what the plan shuffles by key and month are the references less the broadcast heavy keys
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = orphans.orphans(r, 202)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
+    groups = orphans._groups(orphans._references(r), orphans._targets(r.targets), 202)
+    heavy = {(g.key, g.heavy, g.whole, g.mixed) for g in groups.collect()}
+    assert heavy == {("hot", True, None, False), ("lost", False, "missing", False), ("k1", False, None, False)}
+
+
+def test_counts_of_groups_that_are_partly_orphans(spark, rows):
+    refs = [("1", "a", T[2], 1), ("1", "a", T[2], 1), ("2", "a", datetime(2021, 3, 20), 1), ("3", "b", T[2], 1), ("4", "b", datetime(2021, 3, 9), 1), ("5", "c", None, 1), ("6", "a", datetime(2021, 4, 2), 1)]
+    r = reference(spark, refs, [("a", datetime(2021, 3, 10), None), ("b", T[0], datetime(2021, 2, 1))])
+    got = {(x.period, x.orphan_kind): (x.n_orphans, x.n_references) for x in orphans.orphan_counts(r, 7).collect()}
+    assert got == {("2021-03", "late"): (1, 4), ("2021-03", "deleted"): (2, 4), (None, "missing"): (1, 1)}
+    assert len(rows(orphans.orphans(r, 7))) == 4
+
+
 def test_empty_tables(spark, rows):
     assert rows(orphans.orphans(reference(spark, [], []), 0)) == []
     assert rows(orphans.orphans(reference(spark, [("1", "a", T[0], 1)], []), 1)) == [("t", "1", "missing", "2021-01")]

@@ -121,7 +121,7 @@ _CANONICAL = lambda c, kept: (
     rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '(\p{{Nd}})\.(\p{{Nd}})', '\1⌘\2', 'g'), '(\p{{Nd}})\.(\p{{Nd}})', '\1⌘\2', 'g'), '(^|[^\p{{L}}\p{{N}}])-(\p{{Nd}})', '\1⌦\2', 'g'), '[^\p{{L}}\p{{N}}\p{{M}}{kept}]', '', 'g')), lambda p: p <> '')), '|')"
 )
 _FACTS = f"""
-WITH canonical AS (SELECT DISTINCT fact_id, entity, period, coalesce(unit, '') unit, {_CANONICAL("key", "")} k, {_CANONICAL("value", "%⌘⌦")} v FROM facts),
+WITH canonical AS (SELECT DISTINCT fact_id, entity, period, coalesce(unit, '') unit, {_CANONICAL("key", "%⌘⌦")} k, {_CANONICAL("value", "%⌘⌦")} v FROM facts),
 cases AS (SELECT *, min(fact_id) OVER (PARTITION BY entity, period, unit, k, v) a, count(*) OVER (PARTITION BY entity, period, unit, k, v) n
   FROM canonical WHERE entity IS NOT NULL AND k <> '' AND v <> '')
 """

@@ -4,6 +4,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import bloom, exact, lines, neardup
 
@@ -135,30 +136,40 @@ def test_copies_against_brute_force(spark, rows):
         facts.append((i, r.choice(["A", "A", "B", None]), r.choice(["2020", None]), r.choice([None, "", "t"]), k, v, "clash"))
     groups = defaultdict(list)
     for i, e, p, u, k, v, _ in facts:
-        kk, vv = plain(k, False), plain(v, True)
+        kk, vv = plain(k, True), plain(v, True)
         if e is not None and kk and vv:
             groups[e, p, u or "", kk, vv].append(i)
     want = sorted(((min(g), x) for g in groups.values() for x in g if x != min(g)), key=repr)
     df = spark.createDataFrame(facts + facts[:20], FACT).repartition(5)
     assert rows(exact.copy_pairs(df)) == want and want
-    single = [i for i, e, p, u, k, v, _ in facts if e is None or not plain(k, False) or not plain(v, True)]
+    single = [i for i, e, p, u, k, v, _ in facts if e is None or not plain(k, True) or not plain(v, True)]
     assert rows(exact.collapse(df)) == sorted([(min(g), len(g)) for g in groups.values()] + [(i, 1) for i in single], key=repr)
     assert exact.copy_pairs(df.limit(0)).count() == 0 and exact.collapse(df.limit(0)).count() == 0
 
 
-def test_bloom_has_no_false_negatives(spark):
+def test_bloom_has_no_false_negatives(spark, monkeypatch):
     values = [i % 700 for i in range(1000)] + [None]
-    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "hash long, i int").repartition(7)
-    bits = bloom.filter_bits(1000)
-    p = bloom.repeated_positions(df, bits)
-    for broadcast in (True, False):
-        maybe, alone = bloom.possible_repeats(df, p, bits, broadcast)
-        a, b = {r.i for r in maybe.collect()}, {r.i for r in alone.where("hash IS NOT NULL").collect()}
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v long, i int").selectExpr("xxhash64(v) hash", "i", "v").withColumn("hash", F.expr("CASE WHEN v IS NOT NULL THEN hash END")).repartition(7)
+    for segments, a_round in ((1, 8192), (4, 1), (8, 3)):
+        monkeypatch.setattr(bloom, "ROUND", a_round)
+        p = bloom.repeated_bits(df, segments)
+        maybe, alone = bloom.possible_repeats(df, p, segments)
+        a, b = {r.i for r in maybe.collect()}, {r.i for r in alone.collect()}
         assert a | b == set(range(1000)) and not a & b
         assert all(i in a for i in range(1000) if values.count(values[i]) > 1)
         assert len(b) > 300
 
 
+def test_only_possible_repeats_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(bloom, "ROUND", 1)
+    monkeypatch.setattr(bloom, "n_segments", lambda n: 4)
+    data = [(i, "A", "2020", None, "k", str(i // 2 if i < 20 else i), "clash") for i in range(400)]
+    df = spark.createDataFrame(data, FACT)
+    assert {tuple(r) for r in exact.copy_pairs(df).collect()} == {(i, i + 1) for i in range(0, 20, 2)}
+    maybe, alone, _, _ = exact._repeats(df)
+    assert maybe.count() < 30 and maybe.count() + alone.count() == 400
+
+
 def texts(n, seed):
     r = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(400)]

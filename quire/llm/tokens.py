@@ -1,7 +1,7 @@
 """Encoding of texts with a public byte-level BPE tokenizer, long texts in overlapping chunks.
 
-A text of at most CHUNK characters is encoded whole, without a shuffle. A longer one is cut into chunks that overlap;
-chunks are pre-tokenised in parallel. The pre-tokeniser looks back at nothing, so once two chunks have a pre-token
+A text of at most CHUNK characters, a few pages, is one chunk and is encoded without a shuffle. A longer one is cut into chunks that overlap;
+chunks are pre-tokenised in parallel, by the task that their hash gives them to. The pre-tokeniser looks back at nothing, so once two chunks have a pre-token
 boundary in common within their overlap, they agree from there on: that is where they are stitched. Each chunk then
 encodes its own stretch between two stitches. Chunks without a common boundary (one pre-token longer than the overlap)
 are joined and encoded as one. No stitch follows white space, whose pre-token depends on what comes after. Byte-level tokens never cross a pre-token, so the ids are those of the whole text.
@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 TOKENIZER = "byte_bpe_50k"
-#: Fixed value: the pre-token pattern of the byte-level tokenizers.
+#: Fixed value: the pre-token pattern of all byte-level tokenizers that come as a file of ranks; other kinds have no such file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CHUNK = 1 << 18
-OVERLAP = 1 << 11
+CHUNK = 1 << 12
+OVERLAP = 1 << 9
 #: A boundary so close to a chunk's end may depend on characters beyond it.
 MARGIN = 4
 
@@ -47,6 +47,8 @@ def vocabulary(name: str = TOKENIZER) -> str:
 def encoder(path: str):  # noqa: ANN201
     import tiktoken
 
+    if not Path(path).exists():
+        raise FileNotFoundError(f"no file of ranks for a byte-level tokenizer: {path}")
     ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in Path(path).read_bytes().splitlines() if line)}
     return tiktoken.Encoding(Path(path).stem, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 

@@ -1,10 +1,11 @@
 """Filling containers of fixed capacity with texts sized in tokens: hierarchical residual packing.
 
 Every partition packs its own texts, the largest first, each into the container it fits best. Nearly full containers are
-done. The others, as items of their fill, climb a tree: FAN_IN groups at a time are packed again by best fit. Only the
-fills travel; the texts' rows join their final container once. A group sends up at most ``PER_RESIDUAL`` containers of
-each free size, so no task of the tree holds more than FAN_IN * PER_RESIDUAL * capacity rows; what stays behind is
-a finished container, nothing is dropped.
+done. The others, as items of their fill, climb a tree: FAN_IN groups at a time are packed again by best fit. A group sends
+up at most ``PER_RESIDUAL`` containers of each free size, one row each, so a task of the tree holds at most
+FAN_IN * PER_RESIDUAL * capacity rows. Containers left behind, and those at the top, are mixed by hash into groups of about
+REST and packed again, in ROUNDS rounds, so that fills that fit each other meet wherever they come from. Only fills travel;
+each round says which container is poured into which, and the texts' rows join their final container once.
 
 Defined cases: a text larger than the capacity is split into full containers and a rest, which is packed like any other text; null and empty
 texts have no tokens and take a place, but no room, in some container; an empty table has no containers; documents
@@ -29,6 +30,7 @@ from . import tokens
 FAN_IN = 8
 NEARLY_FULL = 0.98
 PER_RESIDUAL = 16
+REST, ROUNDS = 100_000, 2
 
 
 class BestFit:
@@ -87,25 +89,24 @@ def _local(specs: list[tuple[int, int]]):  # noqa: ANN202
     return run
 
 
-_BINS = "spec_id int, bin long, head long, fill long, open boolean"
+_POURED = "spec_id int, head long, lead long, fill long, goes_on boolean"
 
 
-def _merge(capacities: dict[int, int]):  # noqa: ANN202
-    """One node of the tree: the open containers of FAN_IN groups, by head, are packed again."""
+def _merge(capacities: dict[int, int], per_residual: int | None):  # noqa: ANN202
+    """One group's containers (spec_id, head, fill), packed again: each with the container it is poured into."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         capacity = capacities[int(f.spec_id.iloc[0])]
-        heads = f.drop_duplicates("head").sort_values(["fill", "head"], ascending=[False, True])
+        heads = f[["spec_id", "head", "fill"]].sort_values(["fill", "head"], ascending=[False, True])
         number = best_fit(heads.fill.to_numpy(), capacity)
-        total = np.bincount(number, weights=heads.fill).astype(np.int64)[number]
-        lead = heads.groupby(number)["head"].transform("min")
-        new = pd.DataFrame({"head": heads["head"], "lead": lead, "total": total})
-        first = new.drop_duplicates("lead")
-        goes_on = first.total < NEARLY_FULL * capacity
-        goes_on &= first.groupby("total").cumcount() < PER_RESIDUAL
-        out = f.drop(columns=["fill", "open", "group"]).merge(new, on="head")
-        out["open"] = out.lead.isin(set(first.lead[goes_on]))
-        return pd.DataFrame({"spec_id": out.spec_id, "bin": out.bin, "head": out.lead, "fill": out.total, "open": out.open})
+        heads["lead"] = heads.groupby(number)["head"].transform("min")
+        heads["fill"] = np.bincount(number, weights=heads.fill).astype(np.int64)[number]
+        first = heads[heads["head"] == heads["lead"]]
+        goes_on = first.fill < NEARLY_FULL * capacity
+        if per_residual is not None:
+            goes_on &= first.groupby("fill").cumcount() < per_residual
+        heads["goes_on"] = heads.lead.isin(set(first.lead[goes_on]))
+        return heads[["spec_id", "head", "lead", "fill", "goes_on"]]
 
     return run
 
@@ -130,19 +131,33 @@ def pack(documents: DataFrame, specs: DataFrame) -> DataFrame:
         return documents.sparkSession.createDataFrame([], "spec_id int, container_id string, doc_id long, part_no int, first_token long, n_tokens long")
     groups = out.select(F.max(F.shiftright("bin", 32))).first()[0] or 0
     capacity = F.element_at(F.create_map(*(F.lit(x) for kv in capacities.items() for x in kv)), F.col("spec_id"))
-    bins = out.select("spec_id", "bin", "fill").distinct().withColumn("head", F.col("bin")).where(F.col("fill") < NEARLY_FULL * capacity)
-    rank = F.expr(f"row_number() OVER (PARTITION BY spec_id, shiftright(bin, 32), fill ORDER BY bin) <= {PER_RESIDUAL}")
-    bins = bins.withColumn("open", rank).select("spec_id", "bin", "head", "fill", "open")
-    closed, width = bins.where("NOT open"), 1
-    bins = bins.where("open")
+    not_full = F.col("fill") < NEARLY_FULL * capacity
+    bins = out.select("spec_id", F.col("bin").alias("head"), "fill").distinct().where(not_full)
+    rank = F.expr(f"row_number() OVER (PARTITION BY spec_id, shiftright(head, 32), fill ORDER BY head) <= {PER_RESIDUAL}")
+    bins = bins.withColumn("goes_on", rank)
+    rest, open_, poured, width = bins.where("NOT goes_on").drop("goes_on"), bins.where("goes_on"), [], 1
+
+    def packed(x: DataFrame, per_residual: int | None) -> DataFrame:
+        merged = cut(x.groupBy("spec_id", "group").applyInPandas(_merge(capacities, per_residual), _POURED))
+        poured.append(merged.where("head <> lead").select("spec_id", "head", "lead"))
+        return merged.where("head = lead").select("spec_id", "head", "fill", "goes_on")
+
     while width <= groups:
         width *= FAN_IN
-        merged = bins.withColumn("group", F.floor(F.shiftright("head", 32) / width)).groupBy("spec_id", "group").applyInPandas(_merge(capacities), _BINS)
-        merged = cut(merged)
-        closed = closed.unionByName(merged.where("NOT open"))
-        bins = merged.where("open")
-    final = closed.unionByName(bins).where("head <> bin").select("spec_id", "bin", "head")
-    placed = out.join(final, ["spec_id", "bin"], "left")
+        leads = packed(open_.withColumn("group", F.floor(F.shiftright("head", 32) / width)), PER_RESIDUAL)
+        rest = rest.unionByName(leads.where("NOT goes_on").where(not_full).drop("goes_on"))
+        open_ = leads.where("goes_on")
+    rest = rest.unionByName(open_.drop("goes_on"))
+    for salt in range(ROUNDS):
+        n = rest.count()
+        mixed = rest.withColumn("group", F.pmod(F.xxhash64("head", F.lit(salt)), F.lit(max(1, -(-n // REST)))))
+        rest = packed(mixed, None).where("goes_on").drop("goes_on")
+        if n <= REST:
+            break  # one group had them all
+    final = out.select("spec_id", "bin").distinct().withColumn("head", F.col("bin"))
+    for p in poured:
+        final = final.join(p, ["spec_id", "head"], "left").select("spec_id", "bin", F.coalesce("lead", "head").alias("head"))
+    placed = out.join(final.where("head <> bin"), ["spec_id", "bin"], "left")
     return placed.select("spec_id", F.hex(F.coalesce("head", "bin")).alias("container_id"), "doc_id", "part_no", "first_token", "n_tokens")
 
 

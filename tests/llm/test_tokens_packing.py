@@ -63,6 +63,18 @@ def test_packing(spark):
     assert s[1].n_tokens == sum(sizes.values()) and 0.9 < s[1].fill <= 1
 
 
+def test_containers_left_behind_are_packed_again(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PER_RESIDUAL", 1)
+    specs = spark.createDataFrame([(1, tokens.TOKENIZER, 20)], "spec_id int, tokenizer string, capacity int")
+    df = docs(spark, [" ".join(["one"] * (11 if i % 2 else 9)) for i in range(120)]).repartitionByRange(24, "doc_id")
+    n = {}
+    for rounds in (0, 2):
+        monkeypatch.setattr(packing, "ROUNDS", rounds)
+        s = packing.summary(packing.pack(df, specs), specs).collect()[0]
+        n[rounds] = s.n_containers
+    assert n[2] <= n[0] and n[2] <= 1.05 * s.least_containers + 1
+
+
 def test_packing_of_nothing(spark):
     specs = spark.createDataFrame([(1, tokens.TOKENIZER, 64)], "spec_id int, tokenizer string, capacity int")
     assert packing.pack(docs(spark, ["x"]).limit(0), specs).count() == 0

@@ -308,7 +308,8 @@ def candidates(unique: DataFrame, n: int, threshold: float) -> DataFrame:
         if level == LEVELS:
             break
         if members is None:
-            members = cut(rooted.join(large, "node", "left_semi").join(unique, "cls").select("node", "tree", "cls", "minwise"))
+            at = cut(rooted.join(large, "node", "left_semi"))
+            members = cut(unique.join(_small(at, at.count()), "cls").select("node", "tree", "cls", "minwise"))
         else:
             members = cut(own.join(large, "node", "left_semi"))
     # What is left is alike to the last coordinate: block against block, each pair of blocks a group of its own.

@@ -121,9 +121,9 @@ def _order(tree: int) -> list[int]:
     return np.random.default_rng(1000 + tree).permutation(TOKENS).tolist()
 
 
-def _extended(k: np.ndarray, m: np.ndarray, c: int) -> np.ndarray:
+def _extended(k: np.ndarray, token: np.ndarray, c: int) -> np.ndarray:
     """The keys of nodes whose path goes on by the token at coordinate c."""
-    return _mixed(k * _MIX + m[:, c] + np.uint64(c << 40))
+    return _mixed(k * _MIX + token + np.uint64(c << 40))
 
 
 def _sketch(m: np.ndarray) -> np.ndarray:
@@ -143,50 +143,51 @@ def _minwise(c: pa.Array) -> np.ndarray:
     return _bytes(c, 4 * TOKENS).copy().view(np.uint32)
 
 
-def _rooted(trees: int, first: int, sketched: bool):  # noqa: ANN202
-    """(node, tree, cls) of every class in each tree's first nodes, or (node, cls, sketch)."""
-    orders = [_order(t)[:first] for t in range(trees)]
+#: Tokens that a member of a large node takes along: those its tree branches by further down.
+_REST = BRANCH * LEVELS
+_COLUMNS = {"nodes": ["node"], "compared": ["node", "cls", *_SKETCH], "members": ["node", "tree", "cls", "rest", *_SKETCH]}
+_TYPES = {"node": "long", "tree": "int", "cls": "long", "rest": "binary", **dict.fromkeys(_SKETCH, "long")}
+
+
+def _schema(what: str) -> str:
+    return ", ".join(f"{c} {_TYPES[c]}" for c in _COLUMNS[what])
+
+
+def _rooted(trees: int, first: int, what: str):  # noqa: ANN202
+    """Every class in the first node of each tree, with the columns of ``what``. Rows are (cls, minwise)."""
+    orders = [_order(t) for t in range(trees)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 8000):
                 b = whole.slice(at, 8000)
-                m, cls = _minwise(b.column(1)), b.column(0)
-                s = [pa.array(x) for x in _sketch(m).T.copy()] if sketched else []
+                m = _minwise(b.column(1))
+                own = {"cls": b.column(0)} | ({} if what == "nodes" else dict(zip(_SKETCH, map(pa.array, _sketch(m).T.copy()))))
                 for t, path in enumerate(orders):
                     k = np.full(len(m), t + 1, np.uint64)
-                    for c in path:
-                        k = _extended(k, m, c)
-                    node = pa.array(k.view(np.int64))
-                    if sketched:
-                        yield pa.RecordBatch.from_arrays([node, cls, *s], names=["node", "cls", *_SKETCH])
-                    else:
-                        yield pa.RecordBatch.from_arrays([node, pa.array(np.full(len(m), t, np.int32)), cls], names=["node", "tree", "cls"])
+                    for c in path[:first]:
+                        k = _extended(k, m[:, c], c)
+                    own["node"] = pa.array(k.view(np.int64))
+                    if what == "members":
+                        own |= {"tree": pa.array(np.full(len(m), t, np.int32)), "rest": _fixed(m[:, [path[(first + i) % TOKENS] for i in range(_REST)]], 4 * _REST)}
+                    yield pa.RecordBatch.from_arrays([own[c] for c in _COLUMNS[what]], names=_COLUMNS[what])
 
     return run
 
 
-def _branched(first: int, level: int, sketched: bool):  # noqa: ANN202
-    """Members (node, tree, cls, minwise) of large nodes in those nodes' children, as they are or with their sketch in place of the rest."""
+def _branched(level: int, what: str):  # noqa: ANN202
+    """Members of large nodes in those nodes' children, with the columns of ``what``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders: dict[int, list[int]] = {}
         for whole in batches:
-            for at in range(0, whole.num_rows, 8000):
-                b = whole.slice(at, 8000)
-                node, tree, m = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), _minwise(b.column(3))
-                s = [pa.array(x) for x in _sketch(m).T.copy()] if sketched else []
+            for at in range(0, whole.num_rows, 20_000):
+                b = whole.slice(at, 20_000)
+                own = dict(zip(b.schema.names, b.columns))
+                node, rest = own["node"].to_numpy().view(np.uint64), _bytes(own["rest"], 4 * _REST).copy().view(np.uint32)
                 for child in range(BRANCH):
-                    k = np.empty_like(node)
-                    for t in np.unique(tree).tolist():
-                        c = orders.setdefault(t, _order(t))[(first + level * BRANCH + child) % TOKENS]
-                        of = tree == t
-                        k[of] = _extended(node[of], m[of], c)
-                    new = pa.array(k.view(np.int64))
-                    if sketched:
-                        yield pa.RecordBatch.from_arrays([new, b.column(2), *s], names=["node", "cls", *_SKETCH])
-                    else:
-                        yield pa.RecordBatch.from_arrays([new, b.column(1), b.column(2), b.column(3)], names=["node", "tree", "cls", "minwise"])
+                    i = level * BRANCH + child
+                    own["node"] = pa.array(_extended(node, rest[:, i], TOKENS + i).view(np.int64))
+                    yield pa.RecordBatch.from_arrays([own[c] for c in _COLUMNS[what]], names=_COLUMNS[what])
 
     return run
 
@@ -288,30 +289,23 @@ def candidates(unique: DataFrame, n: int, threshold: float) -> DataFrame:
     chance = threshold**first * survival(threshold)
     trees = math.ceil(math.log(1 - RECALL) / math.log(1 - chance))
     least = _agreeing(threshold)
-    sketches = ", ".join(f"{c} long" for c in _SKETCH)
     found, members = None, None
+
+    def made(what: str) -> DataFrame:
+        return unique.mapInArrow(_rooted(trees, first, what), _schema(what)) if members is None else members.mapInArrow(_branched(level - 1, what), _schema(what))
+
     for level in range(LEVELS + 1):
-        if members is None:
-            rooted = unique.mapInArrow(_rooted(trees, first, False), "node long, tree int, cls long")
-            nodes, full = rooted.select("node"), unique.mapInArrow(_rooted(trees, first, True), f"node long, cls long, {sketches}")
-        else:
-            own = members.mapInArrow(_branched(first, level - 1, False), "node long, tree int, cls long, minwise binary")
-            nodes, full = own.select("node"), members.mapInArrow(_branched(first, level - 1, True), f"node long, cls long, {sketches}")
-        larger = cut(nodes.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > LIMIT).select("node"))
+        larger = cut(made("nodes").groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > LIMIT).select("node"))
         n_large = larger.count()
         large = _small(larger, n_large)
+        full = made("compared")
         small = full.join(large, "node", "left_anti") if n_large else full
         pairs = small.repartition("node").sortWithinPartitions("node").mapInArrow(_compared(least), "a long, b long")
         found = pairs if found is None else found.unionByName(pairs)
         if not n_large:
             return found.distinct()
-        if level == LEVELS:
-            break
-        if members is None:
-            at = cut(rooted.join(large, "node", "left_semi"))
-            members = cut(unique.join(_small(at, at.count()), "cls").select("node", "tree", "cls", "minwise"))
-        else:
-            members = cut(own.join(large, "node", "left_semi"))
+        if level < LEVELS:
+            members = cut(made("members").join(large, "node", "left_semi"))
     # What is left is alike to the last coordinate: block against block, each pair of blocks a group of its own.
     rest = full.join(large, "node", "left_semi")
     blocks = rest.groupBy("node").agg(F.ceil(F.count("*") / LIMIT).cast("int").alias("g"))

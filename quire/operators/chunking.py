@@ -1,6 +1,7 @@
 """From blocks to chunks: detection of lists, headings and references, windows, packing, tables and figures.
 
-Defined cases: null and blank text makes no chunk; null headers, rows and captions are empty; ties are broken by idx, then block_id.
+Defined cases: null and blank text makes no chunk; null headers, rows and captions are empty; ties are broken by idx, then block_id; blocks
+delivered twice count once; a single item or word run longer than MAX_TOKENS stays whole in its pack. Texts of any length are cut whole.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .skew import carried, numbered
+from .skew import carried, once, running_sums
 
 # Sizes in tokens, and patterns.
 MAX_TOKENS, OVERLAP = 512, 64
@@ -50,21 +51,25 @@ def references(c: str | Column) -> Column:
     return F.transform(F.arrays_zip(words.alias("w"), numbers.alias("n")), lambda x: F.struct(kind(x["w"]).alias("target_type"), F.concat_ws(" ", x["w"], x["n"]).alias("target_label")))
 
 
+def window_texts(content: str | Column, size: int = MAX_TOKENS, overlap: int = OVERLAP) -> Column:
+    """array<string>: a text of at most ``size`` tokens as it is, a longer one in overlapping windows of tokens; none for a text without tokens."""
+    t, step = T.tokens(content), size - overlap
+    n = F.coalesce(F.size(t), F.lit(0))
+    last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(float(step)))).cast("int")
+    cut_ = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(t, i * step + 1, F.lit(size)), " "))
+    return F.when(n == 0, F.array().cast("array<string>")).when(n <= size, F.array(content)).otherwise(cut_)
+
+
 def windows(texts: DataFrame, key: str, content: str, size: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:
-    """(key, window_no, content, token_count): a text of at most ``size`` tokens as it is, a longer one in overlapping windows."""
-    t = texts.select(key, F.col(content).alias("whole"), T.tokens(content).alias("t")).where("size(t) > 0")
-    step = size - overlap
-    last = F.greatest(F.lit(0), F.ceil((F.size("t") - size) / F.lit(float(step)))).cast("int")
-    w = t.select(key, "whole", "t", F.explode(F.sequence(F.lit(0), last)).alias("window_no"))
-    part = F.slice("t", F.col("window_no") * step + 1, F.lit(size))
-    text = F.when(F.size("t") <= size, F.col("whole")).otherwise(F.array_join(part, " "))
-    return w.select(key, "window_no", text.alias("content"), F.least(F.size(part), F.size("t")).alias("token_count"))
+    """(key, window_no, content, token_count) of the windows of each text."""
+    w = texts.select(key, F.posexplode(window_texts(content, size, overlap)).alias("window_no", "content"))
+    return w.withColumn("token_count", T.token_count("content"))
 
 
-def pack_list(texts: DataFrame, key: str, content: str, size: int = MAX_TOKENS) -> DataFrame:
-    """(key, pack_no, content, token_count): list items packed in order, a new pack before the item that would exceed ``size``."""
+def list_texts(content: str | Column, size: int = MAX_TOKENS) -> Column:
+    """array<string>: a list of at most ``size`` tokens as it is, a longer one in packs of its items, in order, a new pack before the item that would exceed ``size``."""
     starts = rf"{T.LINES_JAVA}(?=^(?:\d+\.{T.B}|[-•●◦▪]{T.B}|[a-z]\){T.B}))"
-    x = texts.where(T.strip(content) != "").select(key, F.col(content).alias("whole"), F.filter(F.transform(F.split(content, starts), lambda i: T.strip(i)), lambda i: i != "").alias("items"))
+    items = F.filter(F.transform(F.split(content, starts), lambda i: T.strip(i)), lambda i: i != "")
     # A fold over one text's items: what is being packed, and the packs done.
     zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
 
@@ -75,18 +80,22 @@ def pack_list(texts: DataFrame, key: str, content: str, size: int = MAX_TOKENS)
         open_ = F.when(flush | (a["n"] == 0), i).otherwise(F.concat(a["open"], F.lit("\n"), i))
         return F.struct(done.alias("done"), open_.alias("open"), F.when(flush, k).otherwise(a["n"] + k).alias("n"))
 
-    packed = F.aggregate("items", zero, step, lambda a: F.concat(a["done"], F.array(a["open"])))
-    packs = F.when(F.size(T.tokens("whole")) <= size, F.array("whole")).otherwise(packed)
-    return x.select(key, F.posexplode(packs).alias("pack_no", "content")).withColumn("token_count", T.token_count("content"))
+    packed = F.aggregate(items, zero, step, lambda a: F.concat(a["done"], F.array(a["open"])))
+    return F.when(F.size(T.tokens(content)) <= size, F.array(content)).otherwise(packed)
 
 
-def subgroups(tables: DataFrame) -> DataFrame:
-    """(block_id, group_no, label, rows): a table of four rows or more cut at its subheader rows, if that gives two groups or more.
+def pack_list(texts: DataFrame, key: str, content: str, size: int = MAX_TOKENS) -> DataFrame:
+    """(key, pack_no, content, token_count) of the packs of each list."""
+    x = texts.where(T.strip(content) != "").select(key, F.posexplode(list_texts(content, size)).alias("pack_no", "content"))
+    return x.withColumn("token_count", T.token_count("content"))
+
+
+def table_groups(rows_: str | Column) -> Column:
+    """array of (label, rows): a table of four rows or more cut at its subheader rows, if that gives two groups or more; else one group without label.
 
     A subheader has a capitalised text in its first cell and nothing in the others; of several in a row the last one counts.
     """
-    once = tables.where("kind = 'table' AND block_id IS NOT NULL").groupBy("block_id").agg(F.first("rows").alias("rows"))
-    rows = F.coalesce("rows", F.array().cast("array<array<string>>"))
+    rows = F.coalesce(rows_, F.array().cast("array<array<string>>"))
 
     def sub(r: Column) -> Column:
         first = T.strip(F.coalesce(F.try_element_at(r, F.lit(1)), F.lit("")))
@@ -104,8 +113,13 @@ def subgroups(tables: DataFrame) -> DataFrame:
 
     groups = F.filter(F.aggregate(rows, zero, step), lambda g: F.size(g["rows"]) > 0)
     whole = F.array(F.struct(F.lit(None).cast("string").alias("label"), rows.alias("rows")))
-    cut = F.when((F.size(rows) >= 4) & (F.size(groups) >= 2), groups).otherwise(whole)
-    return once.select("block_id", F.posexplode(cut).alias("group_no", "g")).select("block_id", "group_no", F.col("g.label").alias("label"), F.col("g.rows").alias("rows"))
+    return F.when((F.size(rows) >= 4) & (F.size(groups) >= 2), groups).otherwise(whole)
+
+
+def subgroups(tables: DataFrame) -> DataFrame:
+    """(block_id, group_no, label, rows) of the groups of each table."""
+    x = once(tables.where("kind = 'table'").select("block_id", "rows"), "block_id")
+    return x.select("block_id", F.posexplode(table_groups("rows")).alias("group_no", "g")).select("block_id", "group_no", "g.label", "g.rows")
 
 
 def table_text(headers: str | Column, rows: str | Column, caption: str | Column) -> Column:
@@ -124,24 +138,41 @@ def figure_text(figure_type: str | Column, caption: str | Column) -> Column:
 
 
 def chunk_blocks(blocks: DataFrame) -> DataFrame:
-    """(document_id, ldu_idx, block_id, page_number, chunk_type, content, parent_section, token_count, content_hash) in reading order.
+    """(document_id, ldu_idx, block_id, part_no, page_number, chunk_type, content, parent_section, token_count, content_hash, table_id, figure_id, subgroup_label, parent_table_id, cross_references) in reading order.
 
     Order is page, then texts before tables before figures, then idx. A heading is its own section and that of all after
-    it, across pages; tables and figures of a page come after its last heading.
+    it, across pages; tables and figures of a page come after its last heading. A paragraph of more than MAX_TOKENS tokens is cut
+    into overlapping windows, a longer list into packs of items, a table into its groups of rows, each with the header. A table or figure without an id
+    is numbered within its document. Groups of a table, headings and figures have no references.
     """
-    once = blocks.where("block_id IS NOT NULL").dropDuplicates(["block_id"])
     kind = F.expr("CASE kind WHEN 'text' THEN 0 WHEN 'table' THEN 1 ELSE 2 END")
-    text = F.expr("kind") == "text"
-    content = F.when(text, T.strip("content")).when(F.col("kind") == "table", table_text("headers", "rows", "caption")).otherwise(figure_text(F.coalesce("figure_type", F.lit("image")), "caption"))
-    x = once.withColumn("kind_no", kind).withColumn("text", content).where(~text | (F.col("text") != ""))
-    heading = text & is_heading("text")
-    chunk_type = F.when(heading, "section").when(text & is_list("text"), "list").when(text, "paragraph").otherwise(F.col("kind"))
+    text = F.col("kind") == "text"
+    needed = ["block_id", "document_id", "page_number", "kind", "idx", "content", "headers", "rows", "caption", "figure_type"]
+    ids = [F.col(c) if c in blocks.columns else F.lit(None).cast("string").alias(c) for c in ("table_id", "figure_id")]
+    x = once(blocks.select(*needed, *ids), "block_id").withColumn("kind_no", kind).withColumn("text", T.strip("content")).where(~text | (F.col("text") != ""))
+    heading, listed = text & is_heading("text"), text & is_list("text")
+    chunk_type = F.when(heading, "section").when(listed, "list").when(text, "paragraph").otherwise(F.col("kind"))
     x = x.withColumn("chunk_type", chunk_type).withColumn("heading", F.when(heading, F.col("text")))
-    x = x.withColumn("bucket", F.floor(F.col("page_number") / PAGES_A_BUCKET)).select("document_id", "bucket", "page_number", "kind_no", "idx", "block_id", "chunk_type", "heading", "text")
+    plain = lambda c: F.struct(c.alias("content"), F.lit(None).cast("string").alias("label"))
+    groups = table_groups("rows")
+    of_table = F.transform(groups, lambda g: F.struct(F.concat(F.when(F.coalesce(g["label"], F.lit("")) != "", F.concat(F.lit("[Subgroup: "), g["label"], F.lit("]\n"))).otherwise(F.lit("")), table_text("headers", g["rows"], "caption")).alias("content"), g["label"].alias("label")))
+    parts = F.when(F.col("chunk_type") == "section", F.array(plain(F.col("text"))))
+    parts = parts.when(F.col("chunk_type") == "list", F.transform(list_texts("text"), plain)).when(F.col("chunk_type") == "paragraph", F.transform(window_texts("text"), plain))
+    parts = parts.when(F.col("kind") == "table", of_table).otherwise(F.array(plain(figure_text(F.coalesce("figure_type", F.lit("image")), "caption"))))
+    x = x.withColumn("parts", parts).withColumn("bucket", F.floor(F.col("page_number") / PAGES_A_BUCKET))
+    x = x.select("document_id", "bucket", "page_number", "kind", "kind_no", "idx", "block_id", "chunk_type", "heading", "parts", "table_id", "figure_id")
     order = ["page_number", "kind_no", "idx", "block_id"]
     x = carried(x, "document_id", "bucket", order, "heading", "parent_section")
-    x = numbered(x, "document_id", "bucket", order, "n")
-    return x.select("document_id", (F.col("n") - 1).alias("ldu_idx"), "block_id", "page_number", "chunk_type", F.col("text").alias("content"), "parent_section", T.token_count("text").alias("token_count"), T.content_hash("text").alias("content_hash"))
+    one = lambda k: F.when(F.col("kind") == k, 1).otherwise(0)
+    x = running_sums(x, "document_id", "bucket", order, {"end": F.size("parts"), "tables": one("table"), "figures": one("figure")})
+    named = lambda k, c: F.when(F.col("kind") == k, F.coalesce(F.expr(f"nullif({k}_id, '')"), F.concat(F.lit(f"{k.title()}_"), F.col(c)))).alias(f"{k}_id")
+    several = F.size("parts") > 1
+    x = x.select("document_id", "block_id", "page_number", "chunk_type", "parent_section", named("table", "tables"), named("figure", "figures"), (F.col("end") - F.size("parts")).alias("start"), ((F.col("kind") == "table") & several).alias("grouped"), F.posexplode("parts").alias("part_no", "p"))
+    refers = F.col("chunk_type").isin("paragraph", "list") | ((F.col("chunk_type") == "table") & ~F.col("grouped"))
+    return x.select(
+        "document_id", (F.col("start") + F.col("part_no")).alias("ldu_idx"), "block_id", "part_no", "page_number", "chunk_type", F.col("p.content").alias("content"), "parent_section", T.token_count("p.content").alias("token_count"), T.content_hash("p.content").alias("content_hash"),
+        "table_id", "figure_id", F.col("p.label").alias("subgroup_label"), F.when(F.col("grouped"), F.col("table_id")).alias("parent_table_id"), F.when(refers, references("p.content")).alias("cross_references"),
+    )
 
 
 def violations(chunks: DataFrame) -> DataFrame:

@@ -1,14 +1,12 @@
 """Names in chunks and the graph of facts, names on one page, and references.
 
 Defined cases: null content has no names; blank names are dropped; names are compared in title case with single blanks;
-of equal edges the first counts: from facts, then from pages, then from references, then by page and order. With facts, their entities, metrics and
-periods are names as well; a fact without a page names nothing on a page, and page 0 is none.
+of equal edges the first counts, by page. With facts, their entities, metrics and periods are names as well; a fact without a page names
+nothing on a page, and page 0 is none. A page's names are paired in alphabetical order.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,26 +32,35 @@ def _named(c: Column) -> Column:
 
 def _keywords(words: list[str]) -> Column:
     """The keywords that the lower-case content holds, anywhere in a word."""
-    low = F.lower("content")
-    return F.array_compact(F.array(*(F.when(low.contains(w), F.lit(w)) for w in words)))
+    return F.array_compact(F.array(*(F.when(F.col("low_").contains(w), F.lit(w)) for w in words)))
 
 
 def _typed(kind: str, found: Column) -> Column:
     return F.transform(found, lambda x: F.struct(F.lit(kind).alias("entity_type"), x.alias("name")))
 
 
-def mentions(chunks: DataFrame) -> DataFrame:
-    """(document_id, ldu_idx, page, entity_type, written, entity_name): every mention, as written and in its common form; metrics and places once a chunk."""
-    text = T.ascii_words("content")
-    kinds = []
-    for kind, p in PATTERNS.items():
-        found = F.regexp_extract_all("content" if kind == "amount" else text, F.lit(p), F.lit(0))
-        if kind == "organization":
-            found = F.filter(found, lambda x: (F.length(x) >= 4) & ~F.lower(x).isin(METRICS))
-        kinds.append(_typed(kind, found))
-    for kind, words in (("metric", METRICS), ("location", PLACES)):
-        kinds.append(_typed(kind, _keywords(words)))
-    x = chunks.select("document_id", "ldu_idx", F.coalesce(F.try_element_at("page_refs", F.lit(1)), F.lit(1)).alias("page"), F.explode(F.concat(*kinds)).alias("e"))
+KINDS = [*PATTERNS, "metric", "location"]
+
+
+def _found(chunks: DataFrame, kinds: list[str]) -> tuple[DataFrame, Column]:
+    """chunks with what the patterns read, made once, and the array of (entity_type, name) of each chunk."""
+    x = chunks.withColumns({"page": F.coalesce(F.try_element_at("page_refs", F.lit(1)), F.lit(1)), "ascii_": T.ascii_words("content"), "low_": F.lower("content")})
+    out = []
+    for kind in kinds:
+        if kind in PATTERNS:
+            found = F.regexp_extract_all("content" if kind == "amount" else "ascii_", F.lit(PATTERNS[kind]), F.lit(0))
+            if kind == "organization":
+                found = F.filter(found, lambda n: (F.length(n) >= 4) & ~F.lower(n).isin(METRICS))
+        else:
+            found = _keywords(METRICS if kind == "metric" else PLACES)
+        out.append(_typed(kind, found))
+    return x, F.concat(*out)
+
+
+def mentions(chunks: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """(document_id, ldu_idx, page, entity_type, written, entity_name): every mention, as written and in its common form; metrics and places once a chunk. kinds: only these are looked for."""
+    x, found = _found(chunks, kinds or KINDS)
+    x = x.select("document_id", "ldu_idx", "page", F.explode(found).alias("e"))
     return x.select("document_id", "ldu_idx", "page", "e.entity_type", T.squeeze(F.col("e.name")).alias("written"), _named(F.col("e.name")).alias("entity_name")).where("entity_name <> ''")
 
 
@@ -64,15 +71,18 @@ def fact_names(facts: DataFrame) -> DataFrame:
     return x.select("document_id", "page", "e.entity_type", _named(F.col("e.name")).alias("entity_name")).where("entity_name <> ''")
 
 
-def names(chunks: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+def names(chunks: DataFrame, facts: DataFrame | None = None, kinds: list[str] | None = None) -> DataFrame:
     """(document_id, page, entity_type, entity_name): every mention in chunks, and in facts where they are given."""
-    x = mentions(chunks).select("document_id", "page", "entity_type", "entity_name")
-    return x if facts is None else x.unionByName(fact_names(facts))
+    x = mentions(chunks, kinds).select("document_id", "page", "entity_type", "entity_name")
+    if facts is None:
+        return x
+    f = fact_names(facts)
+    return x.unionByName(f.where(F.col("entity_type").isin(kinds)) if kinds else f)
 
 
-def entities(chunks: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-    """(document_id, entity_type, entity_name, n_mentions, first_page)."""
-    return names(chunks, facts).groupBy("document_id", "entity_type", "entity_name").agg(F.count("*").alias("n_mentions"), F.min("page").alias("first_page"))
+def entities(chunks: DataFrame, facts: DataFrame | None = None, kinds: list[str] | None = None) -> DataFrame:
+    """(document_id, entity_type, entity_name, n_mentions, first_page); the mentions themselves are rows of ``mentions``."""
+    return names(chunks, facts, kinds).groupBy("document_id", "entity_type", "entity_name").agg(F.count("*").alias("n_mentions"), F.min("page").alias("first_page"))
 
 
 def fact_edges(facts: DataFrame) -> DataFrame:
@@ -83,14 +93,21 @@ def fact_edges(facts: DataFrame) -> DataFrame:
     return metric.unionByName(period)
 
 
+CO_OCCURS = "co_occurs_on_page"
+
+
 def page_edges(chunks: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-    """Each name on a page with the next NEIGHBOURS names of the page in alphabetical order: organisations, or with facts the names of every type."""
-    found = names(chunks).where("entity_type = 'organization'") if facts is None else names(chunks, facts).where("page <> 0")
-    once = found.select("document_id", "page", "entity_name").distinct()
+    """Each name on a page, of any type, with the next NEIGHBOURS names of the page in alphabetical order."""
+    x, found = _found(chunks, KINDS)
+    # a name often stands in a chunk many times, and under several types
+    x = x.select("document_id", "page", F.explode(F.array_distinct(F.transform(found, lambda e: e["name"]))).alias("name")).select("document_id", "page", _named(F.col("name")).alias("entity_name"))
+    if facts is not None:
+        x = x.unionByName(fact_names(facts).select("document_id", "page", "entity_name"))
+    once_ = x.where("entity_name <> '' AND document_id IS NOT NULL AND page <> 0").distinct()
     # a page's names: a bounded group
     following = [F.expr(f"lead(entity_name, {k}) OVER (PARTITION BY document_id, page ORDER BY entity_name)") for k in range(1, NEIGHBOURS + 1)]
-    x = once.withColumn("next", F.array_compact(F.array(*following))).where("document_id IS NOT NULL AND page IS NOT NULL")
-    return x.select("document_id", F.col("entity_name").alias("source"), F.lit("co_occurs_with").alias("relation"), F.explode("next").alias("target"), F.col("page").alias("page_ref"), F.lit(0.5).alias("confidence"))
+    x = once_.withColumn("next", F.array_compact(F.array(*following)))
+    return x.select("document_id", F.col("entity_name").alias("source"), F.lit(CO_OCCURS).alias("relation"), F.explode("next").alias("target"), F.col("page").alias("page_ref"), F.lit(0.5).alias("confidence"))
 
 
 def reference_edges(chunks: DataFrame) -> DataFrame:
@@ -99,17 +116,20 @@ def reference_edges(chunks: DataFrame) -> DataFrame:
     return x.select("document_id", F.concat(F.lit("page:"), "page_ref").alias("source"), F.concat(F.lit("references_"), "x.target_type").alias("relation"), F.col("x.target_label").alias("target"), "page_ref", F.lit(0.4).alias("confidence"))
 
 
-def graph(facts: DataFrame, chunks: DataFrame, every_name: bool = False) -> DataFrame:
-    """Every edge once per document: the first of its kind, page and confidence.
+def graph(facts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(document_id, source, relation, target, page_ref, confidence): every edge once per document, the first of its page.
 
-    every_name: pages pair the names of every type, those of facts among them, and edges from facts hold names in their common form, so
-    that both meet in one node; else pages pair organisations only and edges from facts hold names as written.
+    Names from facts are in their common form, so that they meet those of pages in one node. The three kinds of edges have relations of
+    their own, so each is made distinct by itself; edges of pages need no more than their least page, which is added up before they are shuffled.
     """
-    of_facts = fact_edges(facts)
-    if every_name:
-        of_facts = of_facts.withColumns({c: _named(F.col(c)) for c in ("source", "target")}).where("source <> '' AND target <> ''")
-    kinds = [e.withColumn("kind", F.lit(i)) for i, e in enumerate((of_facts, page_edges(chunks, facts if every_name else None), reference_edges(chunks)))]
-    x = reduce(DataFrame.unionByName, kinds)
-    first = F.min(F.struct("kind", "page_ref", (-F.col("confidence")).alias("c")))
-    x = x.groupBy("document_id", "source", "relation", "target").agg(first.alias("f"))
-    return x.select("document_id", "source", "relation", "target", F.col("f.page_ref").alias("page_ref"), (-F.col("f.c")).alias("confidence"))
+    key = ["document_id", "source", "relation", "target"]
+    of_facts = fact_edges(facts).withColumns({c: _named(F.col(c)) for c in ("source", "target")}).where("source <> '' AND target <> ''")
+    of_facts = of_facts.groupBy(*key).agg(F.min(F.struct("page_ref", (-F.col("confidence")).alias("c"))).alias("f")).select(*key, "f.page_ref", (-F.col("f.c")).alias("confidence"))
+    pages = page_edges(chunks, facts).groupBy("document_id", "source", "target").agg(F.min("page_ref").alias("page_ref")).select("document_id", "source", F.lit(CO_OCCURS).alias("relation"), "target", "page_ref", F.lit(0.5).alias("confidence"))
+    refers = reference_edges(chunks).groupBy(*key).agg(F.min("page_ref").alias("page_ref")).select(*key, "page_ref", F.lit(0.4).alias("confidence"))
+    return of_facts.unionByName(pages).unionByName(refers)
+
+
+def edge_order(relation: str = "relation") -> Column:
+    """Edges of facts come before those of pages, and these before references."""
+    return F.when(F.col(relation).isin("has_metric", "reported_for_period"), 0).when(F.col(relation) == CO_OCCURS, 1).otherwise(2)

@@ -29,15 +29,26 @@ NO_ENTITY = ["Total", "Net", "Gross", "Operating", "Annual", "Monthly", "Quarter
 CONFIDENCE = {"regex": 0.70, "table_parse": 0.85}
 
 
-def extract(chunks: DataFrame, pattern: str) -> DataFrame:
-    """(document_id, ldu_idx, chunk_id, page_ref, content, method_no, pos, key, value) of one pattern; tables are read by ``table`` only."""
+def _pairs(pattern: str) -> Column:
+    """array of (method_no, pos, key, value) that one pattern finds in ``content``."""
     p = T.LINES_JAVA + PATTERNS[pattern][0]
-    x = chunks.where((F.col("chunk_type") == "table") == F.lit(pattern == "table"))
     keys, values = (F.regexp_extract_all("content", F.lit(p), F.lit(g)) for g in (1, 2))
-    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    x = x.select("document_id", "ldu_idx", "chunk_id", F.coalesce(F.try_element_at("page_refs", F.lit(1)), F.lit(1)).alias("page_ref"), "content", F.posexplode(pairs).alias("pos", "p"))
-    key = F.regexp_replace(T.strip("p.k"), "[:]+$", "") if pattern == "table" else T.strip("p.k")
-    return x.select("document_id", "ldu_idx", "chunk_id", "page_ref", "content", F.lit(METHODS[pattern]).alias("method_no"), "pos", key.alias("key"), T.strip("p.v").alias("value"))
+
+    def one(x: Column, i: Column) -> Column:
+        key = F.regexp_replace(T.strip(x["k"]), "[:]+$", "") if pattern == "table" else T.strip(x["k"])
+        return F.struct(F.lit(METHODS[pattern]).alias("method_no"), i.alias("pos"), key.alias("key"), T.strip(x["v"]).alias("value"))
+
+    return F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")), one)
+
+
+def _page() -> Column:
+    return F.coalesce(F.try_element_at("page_refs", F.lit(1)), F.lit(1)).alias("page_ref")
+
+
+def extract(chunks: DataFrame, pattern: str) -> DataFrame:
+    """(document_id, ldu_idx, chunk_id, page_ref, method_no, pos, key, value) of one pattern; tables are read by ``table`` only."""
+    x = chunks.where((F.col("chunk_type") == "table") == F.lit(pattern == "table"))
+    return x.select("document_id", "ldu_idx", "chunk_id", _page(), F.explode(_pairs(pattern)).alias("p")).select("document_id", "ldu_idx", "chunk_id", "page_ref", "p.*")
 
 
 def unit_of(v: str) -> Column:
@@ -65,17 +76,21 @@ def confidence(method: str | Column, value: str | Column) -> Column:
 
 
 def facts(chunks: DataFrame) -> DataFrame:
-    """All patterns' facts, once per document, key and value."""
-    x = reduce(DataFrame.unionByName, (extract(chunks, p).withColumn("method", F.lit(PATTERNS[p][1])) for p in PATTERNS))
+    """All patterns' facts, once per document, key and value: one pass over the chunks; their texts stay where they are."""
+    table = F.col("chunk_type") == "table"
+    x = chunks.select("document_id", "ldu_idx", "chunk_id", "page_refs", "content", F.when(table, _pairs("table")).when(~table, F.concat(*(_pairs(p) for p in ("kv", "text", "gap")))).alias("pairs")).where("size(pairs) > 0")
+    x = x.select("document_id", "ldu_idx", "chunk_id", _page(), T.strip(F.regexp_extract("content", PERIOD, 0)).alias("period"), F.substring(T.strip(F.regexp_extract("content", T.LINES_JAVA + HEADING, 0)), 1, 120).alias("section"), "pairs")
+    x = x.select("document_id", "ldu_idx", "chunk_id", "page_ref", "period", "section", F.explode("pairs").alias("p")).select("document_id", "ldu_idx", "chunk_id", "page_ref", "period", "section", "p.*").where("key <> '' AND value <> ''")
     first = F.expr("row_number() OVER (PARTITION BY document_id, lower(key), lower(value) ORDER BY ldu_idx, method_no, pos, chunk_id)")
-    x = x.withColumn("r", first).where("r = 1 AND key <> '' AND value <> ''")
+    x = x.withColumn("r", first).where("r = 1")
     # a text without figures is less sure, and so is one without a colon
-    less = F.when(F.col("method_no") == 3, 0.05).otherwise(0.0)
-    sure = F.when(F.col("method_no") == 2, F.lit(0.55)).otherwise(F.round(confidence("method", "value") - less, 4))
-    text = F.col("method_no") == 2
+    method = F.when(F.col("method_no") == METHODS["table"], PATTERNS["table"][1]).otherwise(PATTERNS["kv"][1])
+    less = F.when(F.col("method_no") == METHODS["gap"], 0.05).otherwise(0.0)
+    text = F.col("method_no") == METHODS["text"]
+    x = x.withColumn("method", method).withColumn("sure", F.when(text, F.lit(0.55)).otherwise(F.round(confidence("method", "value") - less, 4)))
     return x.select(
         "document_id", "chunk_id", "key", "value", F.when(text, F.lit("")).otherwise(unit_of("value")).alias("unit"), "page_ref", entity_of("key").alias("entity"), F.when(text, F.lit("")).otherwise(F.col("key")).alias("metric"),
-        T.strip(F.regexp_extract("content", PERIOD, 0)).alias("period"), F.substring(T.strip(F.regexp_extract("content", T.LINES_JAVA + HEADING, 0)), 1, 120).alias("section"), "method", sure.alias("confidence"),
+        "period", "section", "method", F.col("sure").alias("confidence"),
     )
 
 

@@ -69,8 +69,62 @@ def fast_text_confidence(density: str | Column, image_share: str | Column) -> Co
 
 
 def layout_confidence(coverage: str | Column, completeness: str | Column) -> Column:
-    return 0.5 * T.col(coverage) + 0.3 * T.col(completeness) + 0.2
+    """Of a layout model: from the share of pages with text, and of tables with rows (1 without tables)."""
+    return F.bround(F.least(0.5 * T.col(coverage) + 0.3 * T.col(completeness) + 0.2, F.lit(1.0)), 4)
+
+
+def layout_fallback_score(mean_chars: str | Column, n_tables: str | Column, coverage: str | Column, empty_share: str | Column) -> Column:
+    c = F.least(T.col(mean_chars) / 500, F.lit(1.0)) * 0.5 + F.least(0.05 * T.col(n_tables), F.lit(0.2)) + 0.2 * T.col(coverage) + 0.1 * (1 - T.col(empty_share))
+    return F.least(c, F.lit(1.0))
 
 
 def layout_fallback_confidence(mean_chars: str | Column, n_tables: str | Column, coverage: str | Column, empty_share: str | Column) -> Column:
-    return F.least(T.col(mean_chars) / 500, F.lit(1.0)) * 0.5 + F.least(0.05 * T.col(n_tables), F.lit(0.2)) + 0.2 * T.col(coverage) + 0.1 * (1 - T.col(empty_share))
+    return F.bround(layout_fallback_score(mean_chars, n_tables, coverage, empty_share), 4)
+
+
+def ocr_confidence(total: str | Column, n_boxes: str | Column) -> Column:
+    """The mean confidence of the boxes; 0.1 without any."""
+    n = T.col(n_boxes)
+    return F.when(n > 0, F.bround(F.least(F.coalesce(T.col(total), F.lit(0.0)) / n, F.lit(1.0)), 4)).otherwise(F.lit(0.1))
+
+
+def ocr_fallback_confidence(mean_chars: str | Column) -> Column:
+    """Of embedded text taken in place of recognition."""
+    return F.bround(F.least(T.col(mean_chars) / 500, F.lit(1.0)) * 0.5, 4)
+
+
+# Confidence by mean characters a page, above 200, above 50, and else.
+VISION_STEPS = {"model": (0.75, 0.50, 0.20), "text": (0.60, 0.40, 0.15), "plain": (0.55, 0.35, 0.15)}
+
+
+def vision_confidence(mean_chars: str | Column, source: str = "model") -> Column:
+    """Of a vision model, or of text taken in its place by a better or a plainer reader."""
+    high, middle, low = VISION_STEPS[source]
+    return F.when(T.col(mean_chars) > 200, high).when(T.col(mean_chars) > 50, middle).otherwise(low)
+
+
+FIGURE_AREA = 0.05
+
+
+def words_to_blocks(words: DataFrame) -> DataFrame:
+    """(document_id, page_number, content): the words of a page, in order, as one block. words: (document_id, page_number, idx, text); blank ones are left out. One page's words."""
+    x = words.where(T.strip(F.coalesce("text", F.lit(""))) != "").groupBy("document_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("w"))
+    return x.select("document_id", "page_number", F.array_join(F.transform("w", lambda q: q["text"]), " ").alias("content"))
+
+
+def large_images(images: DataFrame) -> DataFrame:
+    """images (width, height, page_width, page_height, ...) that take more than FIGURE_AREA of their page: figures."""
+    return images.where(F.col("width") * F.col("height") > FIGURE_AREA * F.col("page_width") * F.col("page_height"))
+
+
+def collected_items(items: DataFrame) -> DataFrame:
+    """Blocks from a layout model's items: (document_id, page_number, idx, kind, content, headers, rows, caption, bbox).
+
+    items: (document_id, page_number, ord, item_class, text, headers, rows, caption, bbox). Items without a page are dropped; a
+    missing box is the whole page; tables and pictures are told by their class, all others are texts and dropped if blank.
+    """
+    kind = F.when(F.col("item_class") == "TableItem", "table").when(F.col("item_class") == "PictureItem", "figure").otherwise("text")
+    whole = F.struct(F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.lit(612.0).alias("x2"), F.lit(792.0).alias("y2"))
+    x = items.where("page_number IS NOT NULL").withColumn("kind", kind).where((F.col("kind") != "text") | (T.strip(F.coalesce("text", F.lit(""))) != ""))
+    x = x.withColumn("idx", F.expr("row_number() OVER (PARTITION BY document_id, page_number, kind ORDER BY ord)") - 1)
+    return x.select("document_id", "page_number", "idx", "kind", F.when(F.col("kind") == "text", T.strip("text")).alias("content"), F.when(F.col("kind") == "table", F.col("headers")).alias("headers"), F.when(F.col("kind") == "table", F.col("rows")).alias("rows"), F.when(F.col("kind") == "figure", F.coalesce("caption", F.lit(""))).alias("caption"), F.coalesce("bbox", whole).alias("bbox"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,13 +43,19 @@ def carried(rows: DataFrame, group: str, bucket: str, order: list[str], value: s
     return x.withColumn(out, F.coalesce(out, "before_")).drop("before_")
 
 
-def numbered(rows: DataFrame, group: str, bucket: str, order: list[str], out: str) -> DataFrame:
-    """1, 2, 3 ... in the order of (bucket, *order) within group, by bucket counts as in ``carried``."""
-    n = rows.groupBy(group, bucket).agg(F.count("*").alias("n_"))
+def running_sums(rows: DataFrame, group: str, bucket: str, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """For each name in ``sums``, the sum of its column up to and with each row, in the order of (bucket, *order) within group, by bucket sums as in ``carried``."""
+    n = rows.groupBy(group, bucket).agg(*(F.sum(c).alias(f"{k}_") for k, c in sums.items()))
     before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    n = n.select(group, bucket, F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
-    x = rows.withColumn(out, F.row_number().over(Window.partitionBy(group, bucket).orderBy(*order)))
-    return x.join(n, [group, bucket]).withColumn(out, F.col(out) + F.col("before_")).drop("before_")
+    n = n.select(group, bucket, *(F.coalesce(F.sum(f"{k}_").over(before), F.lit(0)).alias(f"{k}_") for k in sums))
+    within = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    x = rows.select("*", *(F.sum(c).over(within).alias(k) for k, c in sums.items())).join(n, [group, bucket])
+    return x.withColumns({k: F.col(k) + F.col(f"{k}_") for k in sums}).drop(*(f"{k}_" for k in sums))
+
+
+def numbered(rows: DataFrame, group: str, bucket: str, order: list[str], out: str) -> DataFrame:
+    """1, 2, 3 ... in the order of (bucket, *order) within group."""
+    return running_sums(rows, group, bucket, order, {out: F.lit(1)})
 
 
 #: Keys that occur more than once are broadcast up to this count (about 50 MB), beyond it they are joined by shuffle.

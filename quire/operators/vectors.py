@@ -18,6 +18,8 @@ from ..functions import text as T
 DIMENSIONS = 64
 #: Query vectors compared at once; a longer list of queries is worked off in so many passes over the vectors.
 QUERY_BLOCK = 4096
+#: Vectors compared at once with a block of queries.
+ROWS = 2048
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -35,45 +37,62 @@ def nearest(vectors: DataFrame, query: list[float], top: int, key: str = "chunk_
     return x.select(key, (1 - cosine("embedding", q)).alias("distance")).orderBy("distance", key).limit(top)
 
 
-def _blocked(ids: np.ndarray, q: np.ndarray, top: int):  # noqa: ANN202
+def _matrix(c: pa.Array, width: int) -> np.ndarray:
+    """A column of lists of one length as a matrix, without a Python object for each number."""
+    return c.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+
+
+def _blocked(ids: np.ndarray, q: np.ndarray, groups: list, top: int):  # noqa: ANN202
     unit = q / np.linalg.norm(q, axis=1, keepdims=True)
+    own = pa.array(groups)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_d = np.full((len(ids), 0), np.inf)
         held_k = np.zeros((len(ids), 0), np.int64)
-        for b in batches:
-            v = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1)
-            if not b.num_rows or v.shape[1] != unit.shape[1]:
-                continue
-            keys = b.column(0).to_numpy()
-            norm = np.linalg.norm(v, axis=1)
-            d = 1 - unit @ (v[norm > 0] / norm[norm > 0, None]).T
-            held_d, held_k = np.hstack([held_d, d]), np.hstack([held_k, np.broadcast_to(keys[norm > 0], d.shape)])
-            if held_d.shape[1] > top:
-                order = np.lexsort((held_k, np.round(held_d, 12)), axis=1)[:, :top]
-                held_d, held_k = np.take_along_axis(held_d, order, 1), np.take_along_axis(held_k, order, 1)
-        n = held_d.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(held_k.ravel()), pa.array(held_d.ravel())], names=["query_id", "id", "distance"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                v, keys = _matrix(b.column(1), unit.shape[1]), b.column(0).to_numpy()
+                norm = np.linalg.norm(v, axis=1)
+                ok = norm > 0
+                d = 1 - unit @ (v[ok] / norm[ok, None]).T
+                if b.num_columns > 2:
+                    # each query among the vectors of its own group only; a null group is no group
+                    code = {g: i for i, g in enumerate(dict.fromkeys(own.to_pylist()))}
+                    theirs = np.array([code.get(g, -1) if g is not None else -1 for g in b.column(2).to_pylist()])[ok]
+                    mine = np.array([code[g] if g is not None else -2 for g in own.to_pylist()])
+                    d[mine[:, None] != theirs[None, :]] = np.inf
+                held_d, held_k = np.hstack([held_d, d]), np.hstack([held_k, np.broadcast_to(keys[ok], d.shape)])
+                if held_d.shape[1] > top:
+                    order = np.lexsort((held_k, np.round(held_d, 12)), axis=1)[:, :top]
+                    held_d, held_k = np.take_along_axis(held_d, order, 1), np.take_along_axis(held_k, order, 1)
+        found = np.isfinite(held_d)
+        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], found.shape)[found]), pa.array(held_k[found]), pa.array(held_d[found])], names=["query_id", "id", "distance"])
 
     return run
 
 
-def nearest_to_each(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
+def nearest_to_each(vectors: DataFrame, queries: DataFrame, top: int, within: str | None = None) -> DataFrame:
     """(query_id, id, distance, place): the ``top`` nearest of all vectors (id long, embedding) to each query (query_id long, embedding).
 
-    The queries are collected in blocks of QUERY_BLOCK, each compared with every vector by one matrix product a batch; a partition sends
-    its own top only. queries: a stated, bounded set.
+    within: a column of both; each query is then compared with the vectors of its own value only. The queries, a stated set, come to
+    the driver in blocks of QUERY_BLOCK, by ranges of their id; each block is compared with every vector by a matrix product a batch, and
+    a partition sends its own top only.
     """
-    rows = queries.where("embedding IS NOT NULL").select("query_id", "embedding").orderBy("query_id").collect()
-    width = {len(r.embedding) for r in rows}
-    out = None
-    v = vectors.where("embedding IS NOT NULL").select(F.col("id").cast("long").alias("id"), "embedding")
-    for w in sorted(width):
-        own = [r for r in rows if len(r.embedding) == w and any(r.embedding)]
-        for at in range(0, len(own), QUERY_BLOCK):
-            part = own[at : at + QUERY_BLOCK]
-            x = v.where(F.size("embedding") == w).mapInArrow(_blocked(np.array([r.query_id for r in part]), np.array([r.embedding for r in part], float), top), "query_id long, id long, distance double")
-            out = x if out is None else out.unionByName(x)
+    q = queries.where("embedding IS NOT NULL AND query_id IS NOT NULL").select("query_id", "embedding", *([within] if within else []))
+    v = vectors.where("embedding IS NOT NULL").select(F.col("id").cast("long").alias("id"), "embedding", *([within] if within else []))
+    out, last = None, None
+    while True:
+        block = (q if last is None else q.where(F.col("query_id") > last)).orderBy("query_id").limit(QUERY_BLOCK).collect()
+        for w in sorted({len(r.embedding) for r in block} - {0}):
+            part = [r for r in block if len(r.embedding) == w and any(r.embedding)]
+            if part:
+                near = _blocked(np.array([r.query_id for r in part]), np.array([r.embedding for r in part], float), [r[within] if within else None for r in part], top)
+                x = v.where(F.size("embedding") == w).mapInArrow(near, "query_id long, id long, distance double")
+                out = x if out is None else out.unionByName(x)
+        if len(block) < QUERY_BLOCK:
+            break
+        last = block[-1].query_id
     if out is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, id long, distance double, place int")
     place = F.expr("row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 12), id)")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answers, chunking, entities, facts, reconstruct, sampling, sections, store, triage, vectors
-from ..session import table
+from ..operators.skew import once
+from ..session import cut, table
 from ..streaming import ingest
 
 QUERIES: dict = {}
@@ -33,7 +34,7 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return sections.chunks_once(table(spark, d, "chunks"))
 
 
-ONCE = """WITH c AS (SELECT DISTINCT ON (chunk_id) chunk_id, document_id, ldu_idx, chunk_type, coalesce(content, '') content, coalesce(nullif(section_path, ''), '(Untitled)') section, page_refs, page_number
+ONCE = """WITH c AS (SELECT DISTINCT ON (chunk_id) chunk_id, document_id, ldu_idx, chunk_type, coalesce(content, '') content, coalesce(nullif(section_path, ''), '(Untitled)') section, page_refs, page_number, content_hash
   FROM chunks WHERE chunk_id IS NOT NULL AND document_id IS NOT NULL)"""
 PAGE = "coalesce(page_refs[1], 1)"
 
@@ -73,41 +74,82 @@ _CELLS = lambda r: f"array_to_string([coalesce(q, '') FOR q IN {r}], ' | ')"  #
 _TABLE = f"""array_to_string(list_concat(CASE WHEN coalesce(caption, '') <> '' THEN ['Caption: ' || caption] ELSE [] END,
   CASE WHEN len(headers) > 0 THEN [{_CELLS('headers')}, array_to_string(['---' FOR q IN headers], ' | ')] ELSE [] END, coalesce([{_CELLS('r')} FOR r IN rows], [])), chr(10))"""
 _FIGURE = "'[' || upper(coalesce(figure_type, 'image')) || '] ' || CASE WHEN coalesce(caption, '') = '' THEN '(no caption)' ELSE caption END"
-_LDUS = f"""WITH b AS (SELECT DISTINCT ON (block_id) * FROM blocks WHERE block_id IS NOT NULL),
-  t AS (SELECT *, CASE kind WHEN 'text' THEN 0 WHEN 'table' THEN 1 ELSE 2 END kind_no, CASE kind WHEN 'text' THEN {T.sql_strip('content')} WHEN 'table' THEN {_TABLE} ELSE {_FIGURE} END txt FROM b),
-  h AS (SELECT *, kind = 'text' AND txt <> '' AND len({T.sql_tokens('txt')}) <= 10 AND NOT ends_with(txt, '.') AND regexp_matches(txt, '{chunking.HEADING}') heading,
+_SUB = rf"regexp_matches({T.sql_strip('r[1]')}, '{chunking.SUBHEAD}') AND len(list_filter(r[2:], lambda q: {T.sql_strip('coalesce(q, chr(32))')} NOT IN ('', '-', '—'))) = 0"
+# Groups of rows of each table of b, one without a label where it isn't cut.
+_GROUPS = f"""tb AS (SELECT block_id, coalesce(rows, []) rows FROM b WHERE kind = 'table'),
+  tr AS (SELECT block_id, rows, unnest(rows) r, generate_subscripts(rows, 1) i FROM tb), ts AS (SELECT *, {_SUB} sub FROM tr),
+  tg AS (SELECT *, sum(sub::int) OVER (PARTITION BY block_id ORDER BY i) island, last_value(CASE WHEN sub THEN {T.sql_strip('r[1]')} END IGNORE NULLS) OVER (PARTITION BY block_id ORDER BY i ROWS UNBOUNDED PRECEDING) label FROM ts),
+  tn AS (SELECT block_id, island, label, list(r ORDER BY i) rows, row_number() OVER (PARTITION BY block_id ORDER BY island) - 1 group_no, count(*) OVER (PARTITION BY block_id) n_groups FROM tg WHERE NOT sub GROUP BY 1, 2, 3),
+  tc AS (SELECT tn.* FROM tn JOIN tb USING (block_id) WHERE n_groups >= 2 AND len(tb.rows) >= 4),
+  grouped AS (SELECT block_id, group_no::int group_no, label, rows FROM tc UNION ALL SELECT block_id, 0, NULL, rows FROM tb WHERE block_id NOT IN (SELECT block_id FROM tc))"""
+_N = f"len({T.sql_tokens('txt')})"
+_WINDOWS = f"CASE WHEN {_N} <= 512 THEN [txt] ELSE [array_to_string({T.sql_tokens('txt')}[i * 448 + 1 : i * 448 + 512], ' ') FOR i IN range(0, ceil(({_N} - 512) / 448.0)::bigint + 1)] END"
+_ITEMS = rf"list_filter([{T.sql_strip('q')} FOR q IN string_split(regexp_replace(txt, '(?m)^(\d+\.{B}|[-•●◦▪]{B}|[a-z]\){B})', chr(1) || '\1', 'g'), chr(1))], lambda q: q <> '')"
+_FOLD = "CASE WHEN a.n + x.n > 512 THEN {'d': list_append(a.d, a.o), 'o': x.o, 'n': x.n} ELSE {'d': a.d, 'o': a.o || chr(10) || x.o, 'n': a.n + x.n} END"
+_PACKED = f"list_reduce([{{'d': []::varchar[], 'o': q, 'n': len({T.sql_tokens('q')})}} FOR q IN {_ITEMS}], lambda a, x: {_FOLD})"
+_PACKS = f"CASE WHEN {_N} <= 512 THEN [txt] ELSE list_append(({_PACKED}).d, ({_PACKED}).o) END"
+
+
+def _ldus(blocks: str) -> str:
+    """The chunks of blocks. ``blocks``: SQL of the blocks."""
+    order = "PARTITION BY document_id ORDER BY page_number, kind_no, idx, block_id"
+    return f"""WITH b AS ({blocks}), {_GROUPS},
+  t AS (SELECT *, CASE kind WHEN 'text' THEN 0 WHEN 'table' THEN 1 ELSE 2 END kind_no, {T.sql_strip('content')} txt FROM b),
+  h AS (SELECT *, kind = 'text' AND len({T.sql_tokens('txt')}) <= 10 AND NOT ends_with(txt, '.') AND regexp_matches(txt, '{chunking.HEADING}') heading,
     {' OR '.join(f"len(regexp_extract_all(txt, '{M}{p}')) >= 2" for p in chunking.LIST_ITEMS)} listed FROM t WHERE kind <> 'text' OR txt <> ''),
-  o AS (SELECT *, row_number() OVER w - 1 ldu_idx, last_value(CASE WHEN heading THEN txt END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY page_number, kind_no, idx, block_id ROWS UNBOUNDED PRECEDING) parent_section
-    FROM h WINDOW w AS (PARTITION BY document_id ORDER BY page_number, kind_no, idx, block_id))"""
+  k AS (SELECT *, CASE WHEN heading THEN 'section' WHEN kind = 'text' AND listed THEN 'list' WHEN kind = 'text' THEN 'paragraph' ELSE kind END chunk_type FROM h),
+  gp AS (SELECT g.block_id, list({{'c': CASE WHEN coalesce(label, '') <> '' THEN '[Subgroup: ' || label || ']' || chr(10) ELSE '' END || {_TABLE.replace('IN rows]', 'IN g.rows]')}, 'l': label}} ORDER BY group_no) parts FROM grouped g JOIN b USING (block_id) GROUP BY 1),
+  pp AS (SELECT k.*, CASE chunk_type WHEN 'section' THEN [{{'c': txt, 'l': NULL::varchar}}] WHEN 'list' THEN [{{'c': q, 'l': NULL::varchar}} FOR q IN {_PACKS}] WHEN 'paragraph' THEN [{{'c': q, 'l': NULL::varchar}} FOR q IN {_WINDOWS}]
+    WHEN 'table' THEN parts ELSE [{{'c': {_FIGURE}, 'l': NULL::varchar}}] END ps FROM k LEFT JOIN gp USING (block_id)),
+  o AS (SELECT *, last_value(CASE WHEN heading THEN txt END IGNORE NULLS) OVER w parent_section, sum(len(ps)) OVER w - len(ps) start,
+    CASE WHEN kind = 'table' THEN coalesce(nullif(table_id, ''), 'Table_' || count(*) FILTER (kind = 'table') OVER w) END tid, CASE WHEN kind = 'figure' THEN coalesce(nullif(figure_id, ''), 'Figure_' || count(*) FILTER (kind = 'figure') OVER w) END fid
+    FROM pp WINDOW w AS ({order} ROWS UNBOUNDED PRECEDING)),
+  ldus AS (SELECT document_id, start, block_id, page_number, chunk_type, parent_section, tid, fid, len(ps) n_parts, unnest(ps) p, generate_subscripts(ps, 1) - 1 part_no FROM o)
+  SELECT document_id, (start + part_no)::bigint ldu_idx, block_id, part_no::int part_no, page_number, chunk_type, parent_section, len({T.sql_tokens('p.c')})::int token_count, {T.sql_hash('p.c')} content_hash,
+    tid table_id, fid figure_id, p.l subgroup_label, CASE WHEN chunk_type = 'table' AND n_parts > 1 THEN tid END parent_table_id FROM ldus"""
+
+
+@query(_ldus("SELECT DISTINCT ON (block_id) * FROM blocks WHERE block_id IS NOT NULL"))
+def chunked_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunk_blocks(table(spark, d, "blocks")).drop("content", "cross_references")
 
 
-@query(
-    _LDUS
-    + f""" SELECT document_id, ldu_idx, block_id, page_number, CASE WHEN heading THEN 'section' WHEN kind = 'text' AND listed THEN 'list' WHEN kind = 'text' THEN 'paragraph' ELSE kind END chunk_type,
-    parent_section, len({T.sql_tokens('txt')})::int token_count, {T.sql_hash('txt')} content_hash FROM o"""
-)
-def chunked_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunk_blocks(table(spark, d, "blocks")).drop("content")
+_LONG = """SELECT document_id, document_id || k.id block_id, k.p::int page_number, k.kind kind, k.i::int idx, k.c content, ['Item', 'Amount'] headers, k.r "rows", 'Of ' || source caption, NULL::varchar figure_type, NULL::varchar table_id, NULL::varchar figure_id
+  FROM (SELECT doc_id::varchar document_id, coalesce(source, '') source, unnest([
+    {'id': 'a', 'p': 1, 'kind': 'text', 'i': 0, 'c': 'Report', 'r': NULL::varchar[][]}, {'id': 'b', 'p': 1, 'kind': 'text', 'i': 1, 'c': text, 'r': NULL::varchar[][]},
+    {'id': 'c', 'p': 2, 'kind': 'text', 'i': 0, 'c': '- ' || replace(text, '. ', '.' || chr(10) || '- '), 'r': NULL::varchar[][]},
+    {'id': 't', 'p': 2, 'kind': 'table', 'i': 1, 'c': NULL, 'r': [['All', '1'], ['Assets', '-'], ['loans', n_chars::varchar], ['cash', '2'], ['Liabilities', ''], ['deposits', doc_id::varchar]]}]) k FROM documents WHERE text IS NOT NULL)"""
 
 
-@query()
-def list_packs(spark: SparkSession, d: str) -> DataFrame:
-    x = _chunks(spark, d).where("chunk_type = 'list'").groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ldu_idx", "content"))), lambda s: s["content"]), "\n").alias("content"))
-    return chunking.pack_list(x, "document_id", "content").select("document_id", "pack_no", "token_count", F.md5("content").alias("content_md5"))
+def _long_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as long paragraphs, long lists and tables with subheaders: ``blocks`` has few of these."""
+    t, s = "array<array<string>>", F.lit
+    none = s(None).cast(t)
+    cells = F.array(*(F.array(s(a), b) for a, b in (("All", s("1")), ("Assets", s("-")), ("loans", F.col("n_chars").cast("string")), ("cash", s("2")), ("Liabilities", s("")), ("deposits", F.col("doc_id").cast("string")))))
+    k = [("a", 1, "text", 0, s("Report"), none), ("b", 1, "text", 1, F.col("text"), none), ("c", 2, "text", 0, F.concat(s("- "), F.expr("replace(text, '. ', '.\n- ')")), none), ("t", 2, "table", 1, s(None).cast("string"), cells)]
+    kinds = F.array(*(F.struct(s(i).alias("id"), s(p).alias("p"), s(kind).alias("kind"), s(n).alias("i"), c.alias("c"), r.cast(t).alias("r")) for i, p, kind, n, c, r in k))
+    x = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("document_id"), F.coalesce("source", s("")).alias("source"), F.explode(kinds).alias("k"))
+    return x.select("document_id", F.concat("document_id", "k.id").alias("block_id"), F.col("k.p").alias("page_number"), "k.kind", F.col("k.i").alias("idx"), F.col("k.c").alias("content"), F.array(s("Item"), s("Amount")).alias("headers"), F.col("k.r").alias("rows"), F.concat(s("Of "), "source").alias("caption"), s(None).cast("string").alias("figure_type"))
 
 
-_SUB = rf"regexp_matches({T.sql_strip('r[1]')}, '{chunking.SUBHEAD}') AND len(list_filter(r[2:], lambda q: {T.sql_strip('coalesce(q, chr(32))')} NOT IN ('', '-', '—'))) = 0"
+@query(_ldus(_LONG))
+def chunked_documents(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunk_blocks(_long_blocks(spark, d)).drop("content", "cross_references")
 
 
 @query(
-    f"""WITH b AS (SELECT DISTINCT ON (block_id) block_id, coalesce(rows, []) rows FROM blocks WHERE kind = 'table' AND block_id IS NOT NULL),
-    r AS (SELECT block_id, rows, unnest(rows) r, generate_subscripts(rows, 1) i FROM b),
-    s AS (SELECT *, {_SUB} sub FROM r),
-    g AS (SELECT *, sum(sub::int) OVER (PARTITION BY block_id ORDER BY i) island, last_value(CASE WHEN sub THEN {T.sql_strip('r[1]')} END IGNORE NULLS) OVER (PARTITION BY block_id ORDER BY i ROWS UNBOUNDED PRECEDING) label FROM s),
-    n AS (SELECT block_id, island, label, count(*) n_rows, row_number() OVER (PARTITION BY block_id ORDER BY island) - 1 group_no, count(*) OVER (PARTITION BY block_id) n_groups FROM g WHERE NOT sub GROUP BY 1, 2, 3),
-    cut AS (SELECT n.* FROM n JOIN b USING (block_id) WHERE n_groups >= 2 AND len(rows) >= 4)
-    SELECT block_id, group_no::int group_no, label, n_rows::int n_rows FROM cut UNION ALL SELECT block_id, 0, NULL, len(rows)::int FROM b WHERE block_id NOT IN (SELECT block_id FROM cut)"""
+    f"""{ONCE}, l AS (SELECT document_id, page_number, string_agg(content, chr(10) ORDER BY ldu_idx, content) txt FROM c WHERE chunk_type = 'list' GROUP BY 1, 2),
+    k AS (SELECT document_id, page_number, {_PACKS} ps FROM l WHERE {T.sql_strip('txt')} <> ''), u AS (SELECT document_id, page_number, unnest(ps) c, generate_subscripts(ps, 1) - 1 pack_no FROM k)
+    SELECT document_id, page_number, pack_no::int pack_no, len({T.sql_tokens('c')})::int token_count, md5(c) content_md5 FROM u"""
 )
+def list_packs(spark: SparkSession, d: str) -> DataFrame:
+    # one page's lists
+    x = _chunks(spark, d).where("chunk_type = 'list'").groupBy("document_id", "page_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ldu_idx", "content"))), lambda s: s["content"]), "\n").alias("content"))
+    x = chunking.pack_list(x.withColumn("page", F.struct("document_id", "page_number")), "page", "content")
+    return x.select("page.document_id", "page.page_number", "pack_no", "token_count", F.md5("content").alias("content_md5"))
+
+
+@query(f"WITH b AS (SELECT DISTINCT ON (block_id) * FROM blocks WHERE block_id IS NOT NULL), {_GROUPS} SELECT block_id, group_no, label, len(rows)::int n_rows FROM grouped")
 def table_subgroups(spark: SparkSession, d: str) -> DataFrame:
     return chunking.subgroups(table(spark, d, "blocks")).select("block_id", "group_no", "label", F.size("rows").alias("n_rows"))
 
@@ -146,15 +188,24 @@ def section_index(spark: SparkSession, d: str) -> DataFrame:
     return sections.sections(_chunks(spark, d))
 
 
-@query(
-    f"""{ONCE}, m AS (SELECT document_id, section title, ldu_idx, unnest(x) name, generate_subscripts(x, 1) pos FROM (SELECT *, regexp_extract_all({T.sql_ascii_words('content')}, '{sections.NAME}') x FROM c WHERE chunk_type <> 'section')),
-    n AS (SELECT document_id, title, name, count(*) n, min((ldu_idx, pos)) f FROM m WHERE length(name) > 4 GROUP BY 1, 2, 3)
-    SELECT document_id, title, name, n, place::int place FROM (SELECT *, row_number() OVER (PARTITION BY document_id, title ORDER BY n DESC, f, name) place FROM n) WHERE place <= 10"""
-)
+_KEY_NAMES = f"""km AS (SELECT document_id, section title, ldu_idx, unnest(x) name, generate_subscripts(x, 1) pos FROM (SELECT *, regexp_extract_all({T.sql_ascii_words('content')}, '{sections.NAME}') x FROM c WHERE chunk_type <> 'section')),
+    kn AS (SELECT document_id, title, name, count(*) n, min((ldu_idx, pos)) f FROM km WHERE length(name) > 4 GROUP BY 1, 2, 3),
+    key_names AS (SELECT document_id, title, name, n, place::int place FROM (SELECT *, row_number() OVER (PARTITION BY document_id, title ORDER BY n DESC, f, name) place FROM kn) WHERE place <= 10)"""
+
+
+@query(f"{ONCE}, {_KEY_NAMES} SELECT * FROM key_names")
 def key_names(spark: SparkSession, d: str) -> DataFrame:
     return sections.key_names(_chunks(spark, d))
 
 
+def _nodes(c: DataFrame) -> DataFrame:
+    return sections.with_key_names(sections.sections(c), sections.key_names(c))
+
+
+# Nodes with the words of their key names.
+_NAMED_NODES = f"""{_NODES}, {_KEY_NAMES}, named_nodes AS (SELECT nodes.*, coalesce(k, '') key_words FROM nodes LEFT JOIN (SELECT document_id, title, string_agg(name, ' ' ORDER BY place) k FROM key_names GROUP BY 1, 2) USING (document_id, title))"""
+
+
 def _questions(spark: SparkSession, d: str) -> DataFrame:
     """One question for every document with a fact that names an entity and a metric: about its first such fact."""
     f = table(spark, d, "facts").where("entity IS NOT NULL AND coalesce(metric, '') <> '' AND document_id IS NOT NULL")
@@ -166,15 +217,20 @@ _QUESTIONS = """questions AS (SELECT f.fact_id question_id, document_id, 'What i
   (SELECT document_id, min({'fact_id': fact_id, 'metric': metric, 'entity': entity}) f FROM facts WHERE entity IS NOT NULL AND coalesce(metric, '') <> '' AND document_id IS NOT NULL GROUP BY 1))"""
 
 
-@query(
-    _NODES
-    + ", "
-    + _QUESTIONS
-    + f""", sc AS (SELECT q.question_id, document_id, title, node_ord, len(list_intersect({T.sql_words('question')}, {T.sql_words("concat_ws(' ', title, summary, signals)")})) / len({T.sql_words('question')}) score FROM nodes JOIN questions q USING (document_id))
-    SELECT question_id, document_id, title, round(score, 6) score, place::int place FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, node_ord, title) place FROM sc) WHERE place <= 3"""
-)
+_CHOSEN = f"""sc AS (SELECT q.question_id, document_id, title, page_start, summary, node_ord, len(list_intersect({T.sql_words('question')}, {T.sql_words("concat_ws(' ', title, summary, signals, key_words)")})) / len({T.sql_words('question')}) score FROM named_nodes JOIN questions q USING (document_id)),
+    chosen AS (SELECT question_id, document_id, title, page_start, summary, round(score, 6) score, place::int place FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, node_ord, title) place FROM sc) WHERE place <= 3)"""
+
+
+@query(f"{_NAMED_NODES}, {_QUESTIONS}, {_CHOSEN} SELECT question_id, document_id, title, score, place FROM chosen")
 def section_choice(spark: SparkSession, d: str) -> DataFrame:
-    return sections.choose_sections(sections.sections(_chunks(spark, d)), _questions(spark, d))
+    return sections.choose_sections(_nodes(_chunks(spark, d)), _questions(spark, d)).drop("page_start", "summary")
+
+
+@query(f"{_NAMED_NODES} SELECT document_id, node_ord, title, page_start, page_end, signals, summary, key_words \"names\", count(*) OVER (PARTITION BY document_id) n_nodes FROM named_nodes")
+def page_index(spark: SparkSession, d: str) -> DataFrame:
+    """The index of each document as one JSON text, and its nodes read again from it."""
+    stored = sections.index_json(_nodes(_chunks(spark, d)))
+    return sections.index_nodes(stored).join(stored.select("document_id", "n_nodes"), "document_id")
 
 
 # Facts. Beside the chunks, reports of suppliers are written here, as chunks have few facts of some forms.
@@ -291,18 +347,13 @@ _MENTIONS = f"""{_REPORT}, m AS ({" UNION ALL ".join(f"SELECT document_id, {PAGE
   named AS (SELECT document_id, page, entity_type, {_TITLE(f"regexp_replace({T.sql_strip('w')}, '{B}+', ' ', 'g')")} entity_name FROM m)"""
 
 
-@query(_MENTIONS + " SELECT document_id, entity_type, entity_name, count(*) n_mentions, min(page) first_page FROM named WHERE entity_name <> '' GROUP BY 1, 2, 3")
-def entity_names(spark: SparkSession, d: str) -> DataFrame:
-    return entities.entities(_fact_chunks(spark, d))
-
-
 _FACT_EDGES = """f AS (SELECT DISTINCT fact_id, document_id, entity, metric, period, page_ref, confidence FROM facts),
   fe AS (SELECT document_id, entity source, 'has_metric' relation, metric target, page_ref, confidence FROM f WHERE coalesce(entity, '') <> '' AND coalesce(metric, '') <> ''
     UNION ALL SELECT document_id, metric, 'reported_for_period', period, page_ref, confidence FROM f WHERE coalesce(metric, '') <> '' AND coalesce(period, '') <> '')"""
 
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "facts").where("fact_id IS NOT NULL").dropDuplicates(["fact_id"])
+    return once(table(spark, d, "facts"), "fact_id")
 
 
 @query(f"WITH {_FACT_EDGES} SELECT document_id, source, relation, target, min(page_ref) page_ref, count(*) n FROM fe GROUP BY 1, 2, 3, 4")
@@ -315,38 +366,28 @@ def reference_edges(spark: SparkSession, d: str) -> DataFrame:
     return entities.reference_edges(_fact_chunks(spark, d)).groupBy("document_id", "source", "relation", "target").agg(F.count("*").alias("n"))
 
 
-@query(
-    f"""{_MENTIONS}, {_FACT_EDGES}, names AS (SELECT *, row_number() OVER (PARTITION BY document_id, page ORDER BY entity_name) r FROM (SELECT DISTINCT document_id, page, entity_name FROM named WHERE entity_type = 'organization' AND entity_name <> '')),
-    pe AS (SELECT x.document_id, x.entity_name source, 'co_occurs_with' relation, y.entity_name target, x.page page_ref, 0.5 confidence FROM names x JOIN names y ON x.document_id = y.document_id AND x.page = y.page AND y.r - x.r BETWEEN 1 AND 5),
-    {_XREF_CTES}, re AS (SELECT document_id, 'page:' || page, 'references_' || target_type, target_label, page, 0.4 FROM typed),
-    e AS (SELECT 0 kind, * FROM fe UNION ALL SELECT 1, * FROM pe UNION ALL SELECT 2, * FROM re)
-    SELECT DISTINCT ON (document_id, source, relation, target) document_id, source, relation, target, page_ref, confidence::double confidence FROM e ORDER BY document_id, source, relation, target, kind, page_ref, confidence DESC"""
-)
-def knowledge_graph(spark: SparkSession, d: str) -> DataFrame:
-    return entities.graph(_facts(spark, d), _fact_chunks(spark, d))
-
-
-# The same with the names of every type and those of facts.
-_EVERY_NAME = f"""{_MENTIONS}, {_FACT_EDGES}, fw AS (SELECT document_id, page_ref page, unnest(['organization', 'metric', 'date']) entity_type, unnest([entity, metric, period]) w FROM f WHERE fact_id IS NOT NULL),
-    every AS (SELECT * FROM named WHERE entity_name <> '' UNION ALL SELECT * FROM (SELECT document_id, page, entity_type, {_TITLE(f"regexp_replace({T.sql_strip('w')}, '{B}+', ' ', 'g')")} entity_name FROM fw WHERE w IS NOT NULL) WHERE entity_name <> '')"""
+# Names of every type, those of facts among them.
 _COMMON = lambda c: _TITLE(f"regexp_replace({T.sql_strip(c)}, '{B}+', ' ', 'g')")
+_EVERY_CTES = f"""{_FACT_EDGES}, fw AS (SELECT document_id, page_ref page, unnest(['organization', 'metric', 'date']) entity_type, unnest([entity, metric, period]) w FROM f WHERE fact_id IS NOT NULL),
+    every AS (SELECT * FROM named WHERE entity_name <> '' UNION ALL SELECT * FROM (SELECT document_id, page, entity_type, {_COMMON('w')} entity_name FROM fw WHERE w IS NOT NULL) WHERE entity_name <> '')"""
 
 
-@query(_EVERY_NAME + " SELECT document_id, entity_type, entity_name, count(*) n_mentions, min(page) first_page FROM every GROUP BY 1, 2, 3")
-def entity_names_with_facts(spark: SparkSession, d: str) -> DataFrame:
+@query(f"{_MENTIONS}, {_EVERY_CTES} SELECT document_id, entity_type, entity_name, count(*) n_mentions, min(page) first_page FROM every GROUP BY 1, 2, 3")
+def entity_names(spark: SparkSession, d: str) -> DataFrame:
     return entities.entities(_fact_chunks(spark, d), _facts(spark, d))
 
 
-@query(
-    f"""{_EVERY_NAME}, names AS (SELECT *, row_number() OVER (PARTITION BY document_id, page ORDER BY entity_name) r FROM (SELECT DISTINCT document_id, page, entity_name FROM every WHERE page <> 0)),
-    pe AS (SELECT x.document_id, x.entity_name source, 'co_occurs_with' relation, y.entity_name target, x.page page_ref, 0.5 confidence FROM names x JOIN names y ON x.document_id = y.document_id AND x.page = y.page AND y.r - x.r BETWEEN 1 AND 5),
+_GRAPH_CTES = f"""page_names AS (SELECT *, row_number() OVER (PARTITION BY document_id, page ORDER BY entity_name) r FROM (SELECT DISTINCT document_id, page, entity_name FROM every WHERE page <> 0)),
+    pe AS (SELECT x.document_id, x.entity_name source, 'co_occurs_on_page' relation, y.entity_name target, x.page page_ref, 0.5 confidence FROM page_names x JOIN page_names y ON x.document_id = y.document_id AND x.page = y.page AND y.r - x.r BETWEEN 1 AND 5),
     ce AS (SELECT * FROM (SELECT document_id, {_COMMON('source')} source, relation, {_COMMON('target')} target, page_ref, confidence FROM fe) WHERE source <> '' AND target <> ''),
     {_XREF_CTES}, re AS (SELECT document_id, 'page:' || page, 'references_' || target_type, target_label, page, 0.4 FROM typed),
-    e AS (SELECT 0 kind, * FROM ce UNION ALL SELECT 1, * FROM pe UNION ALL SELECT 2, * FROM re)
-    SELECT DISTINCT ON (document_id, source, relation, target) document_id, source, relation, target, page_ref, confidence::double confidence FROM e ORDER BY document_id, source, relation, target, kind, page_ref, confidence DESC"""
-)
-def knowledge_graph_of_every_name(spark: SparkSession, d: str) -> DataFrame:
-    return entities.graph(_facts(spark, d), _fact_chunks(spark, d), every_name=True)
+    e AS (SELECT 0 kind, * FROM ce UNION ALL SELECT 1, * FROM pe UNION ALL SELECT 2, * FROM re),
+    edges AS (SELECT DISTINCT ON (document_id, source, relation, target) kind, document_id, source, relation, target, page_ref, confidence::double confidence FROM e ORDER BY document_id, source, relation, target, kind, page_ref, confidence DESC)"""
+
+
+@query(f"{_MENTIONS}, {_EVERY_CTES}, {_GRAPH_CTES} SELECT document_id, source, relation, target, page_ref, confidence FROM edges")
+def knowledge_graph(spark: SparkSession, d: str) -> DataFrame:
+    return entities.graph(_facts(spark, d), _fact_chunks(spark, d))
 
 
 # Triage. Pages are made of blocks: text, and the boxes of figures and tables, on pages of 612 by 792; words are the scanned lines.
@@ -380,23 +421,23 @@ def _words(spark: SparkSession, d: str) -> DataFrame:
     return reconstruct.boxes_once(table(spark, d, "ocr_boxes")).select("document_id", "page_number", F.col("x1").alias("x0"), F.col("x2").alias("x1"))
 
 
-_LAYOUT = f"""WITH {_PAGES}, o AS (SELECT DISTINCT ON (box_id) document_id, page_number, (x1 + x2) / 2 / 612.0 mid FROM ocr_boxes WHERE box_id IS NOT NULL),
+_LAYOUT_CTES = f"""o AS (SELECT DISTINCT ON (box_id) document_id, page_number, (x1 + x2) / 2 / 612.0 mid FROM ocr_boxes WHERE box_id IS NOT NULL),
   w AS (SELECT o.document_id, count(*) n, avg(mid) mean, stddev_samp(mid) dev FROM o JOIN p USING (document_id, page_number) WHERE page_number <= 5 GROUP BY 1),
   lay AS (SELECT document_id, CASE WHEN tables / area > 0.3 THEN 'table_heavy' WHEN images / area > 0.25 AND chars / area > 0.005 THEN 'figure_heavy' WHEN n >= 10 AND mean > 0 AND dev / mean > 0.25 THEN 'multi_column' ELSE 'single_column' END layout_complexity FROM first5 LEFT JOIN w USING (document_id))"""
 
 
-@query(_LAYOUT + " SELECT * FROM lay")
+@query(f"WITH {_PAGES}, {_LAYOUT_CTES} SELECT * FROM lay")
 def layout_class(spark: SparkSession, d: str) -> DataFrame:
     return triage.layout(_pages(spark, d), _words(spark, d))
 
 
-def _domain_sql() -> str:
+def _domain_cte() -> str:
     n = ", ".join("(" + " + ".join(f"max(contains(lower(text), '{w}')::int)" for w in words) + f") {name}" for name, words in triage.DOMAINS.items())
     cases = " ".join(f"WHEN {name} > 0 AND {name} = greatest({', '.join(triage.DOMAINS)}) THEN '{name}'" for name in triage.DOMAINS)
-    return f"WITH {_PAGES}, k AS (SELECT document_id, {n} FROM p WHERE page_number <= 2 GROUP BY 1) SELECT document_id, CASE {cases} ELSE 'general' END domain_hint FROM k"
+    return f"dk AS (SELECT document_id, {n} FROM p WHERE page_number <= 2 GROUP BY 1), dom AS (SELECT document_id, CASE {cases} ELSE 'general' END domain_hint FROM dk)"
 
 
-@query(_domain_sql())
+@query(f"WITH {_PAGES}, {_domain_cte()} SELECT * FROM dom")
 def domain_hint(spark: SparkSession, d: str) -> DataFrame:
     return triage.domain(_pages(spark, d))
 
@@ -431,9 +472,75 @@ def unprofiled(spark: SparkSession, d: str) -> DataFrame:
     return triage.coverage_gap(_profiles(spark, d), table(spark, d, "chunks").where("document_id IS NOT NULL").select("document_id").distinct())
 
 
-@query(f"WITH {_PAGES} SELECT document_id, page_number FROM p WHERE length(text) < 50")
+_PAGE_SURE = "0.6 * least(length(text) / (width * height) / 0.02, 1.0) + 0.4 * greatest(0.0, 1 - image_area / (width * height) / 0.5)"
+
+
+def _sure_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with the confidence of their text."""
+    area = F.col("width") * F.col("height")
+    return _pages(spark, d).withColumn("page_confidence", reconstruct.fast_text_confidence(F.col("n_chars") / area, F.col("image_area") / area))
+
+
+@query(f"WITH {_PAGES} SELECT document_id, page_number FROM p WHERE length(text) < 50 OR ({_PAGE_SURE} > 0 AND {_PAGE_SURE} < 0.5)")
 def sparse_pages(spark: SparkSession, d: str) -> DataFrame:
-    return triage.low_confidence_pages(_pages(spark, d).withColumn("page_confidence", F.lit(0.0)), 0.5).select("document_id", "page_number")
+    return triage.low_confidence_pages(_sure_pages(spark, d), 0.5).select("document_id", "page_number")
+
+
+_AREA = "sum(width * height)"
+_SIGNALS = f"""signals AS (SELECT document_id, count(*) n_pages, sum(length(text)) chars, {_AREA} area, sum(image_area::decimal(20,6))::double images, count(*) FILTER (length(text) > 0) with_text FROM p GROUP BY 1),
+  parts AS (SELECT document_id, count(*) FILTER (kind = 'table') n_tables, count(*) FILTER (kind = 'table' AND len("rows") > 0) full_tables, count(*) FILTER (kind = 'text') n_texts, count(*) FILTER (kind = 'text' AND {T.sql_strip("coalesce(content, '')")} = '') n_blank FROM b GROUP BY 1),
+  ocr AS (SELECT document_id, sum(confidence::decimal(20,6)) s, count(*) n FROM (SELECT DISTINCT ON (box_id) * FROM ocr_boxes WHERE box_id IS NOT NULL) GROUP BY 1)"""
+
+
+@query(
+    f"""WITH {_PAGES}, {_SIGNALS}, v AS (SELECT *, chars / n_pages mean, with_text / n_pages coverage, CASE WHEN n_tables > 0 THEN full_tables / n_tables ELSE 1.0 END complete, CASE WHEN n_texts > 0 THEN n_blank / n_texts ELSE 0.0 END blank FROM signals JOIN parts USING (document_id) LEFT JOIN ocr USING (document_id))
+    SELECT document_id, round_even(0.6 * least(chars / area / 0.02, 1.0) + 0.4 * greatest(0.0, 1 - images / area / 0.5), 4)::double fast_text, round_even(least(0.5 * coverage + 0.3 * complete + 0.2, 1.0), 4)::double layout_model,
+      round(least(least(mean / 500, 1e0) * 0.5e0 + least(0.05e0 * n_tables, 0.2e0) + 0.2e0 * coverage + 0.1e0 * (1 - blank), 1e0), 6)::double layout_text, CASE WHEN n > 0 THEN round_even(least((coalesce(s, 0) / n)::double, 1.0), 4) ELSE 0.1 END::double ocr,
+      round_even(least(mean / 500, 1.0) * 0.5, 4)::double ocr_text, CASE WHEN mean > 200 THEN 0.75 WHEN mean > 50 THEN 0.5 ELSE 0.2 END::double vision, CASE WHEN mean > 200 THEN 0.6 WHEN mean > 50 THEN 0.4 ELSE 0.15 END::double vision_text, CASE WHEN mean > 200 THEN 0.55 WHEN mean > 50 THEN 0.35 ELSE 0.15 END::double vision_plain FROM v"""
+)
+def strategy_confidences(spark: SparkSession, d: str) -> DataFrame:
+    """What each way of extraction, and what takes its place, would say of its result."""
+    blank = T.strip(F.coalesce("content", F.lit(""))) == ""
+    n = lambda c: F.count(F.when(c, 1))
+    kind = F.col("kind")
+    b = once(table(spark, d, "blocks"), "block_id").groupBy("document_id").agg(n(kind == "table").alias("n_tables"), n((kind == "table") & (F.size("rows") > 0)).alias("full_tables"), n(kind == "text").alias("n_texts"), n((kind == "text") & blank).alias("n_blank"))
+    p = _pages(spark, d).groupBy("document_id").agg(F.count("*").alias("n_pages"), F.sum("n_chars").alias("chars"), F.sum(F.col("width") * F.col("height")).alias("area"), F.sum(F.col("image_area").cast("decimal(20,6)")).cast("double").alias("images"), n(F.col("n_chars") > 0).alias("with_text"))
+    o = reconstruct.boxes_once(table(spark, d, "ocr_boxes")).groupBy("document_id").agg(F.sum(F.col("confidence").cast("decimal(20,6)")).cast("double").alias("s"), F.count("*").alias("n"))
+    x = p.join(b, "document_id").join(o, "document_id", "left")
+    x = x.withColumns({"mean": F.col("chars") / F.col("n_pages"), "coverage": F.col("with_text") / F.col("n_pages"), "complete": F.when(F.col("n_tables") > 0, F.col("full_tables") / F.col("n_tables")).otherwise(1.0), "blank": F.when(F.col("n_texts") > 0, F.col("n_blank") / F.col("n_texts")).otherwise(0.0)})
+    return x.select(
+        "document_id", F.bround(reconstruct.fast_text_confidence(F.col("chars") / F.col("area"), F.col("images") / F.col("area")), 4).alias("fast_text"), reconstruct.layout_confidence("coverage", "complete").alias("layout_model"),
+        F.round(reconstruct.layout_fallback_score("mean", "n_tables", "coverage", "blank"), 6).alias("layout_text"), reconstruct.ocr_confidence("s", F.coalesce("n", F.lit(0))).alias("ocr"), reconstruct.ocr_fallback_confidence("mean").alias("ocr_text"),
+        *(reconstruct.vision_confidence("mean", k).alias(c) for k, c in (("model", "vision"), ("text", "vision_text"), ("plain", "vision_plain"))),
+    )
+
+
+@query(f"WITH o AS (SELECT DISTINCT ON (box_id) * FROM ocr_boxes WHERE box_id IS NOT NULL) SELECT document_id, page_number, md5(string_agg(text, ' ' ORDER BY idx, text)) content_md5 FROM o WHERE {T.sql_strip('text')} <> '' GROUP BY 1, 2")
+def words_as_blocks(spark: SparkSession, d: str) -> DataFrame:
+    x = reconstruct.words_to_blocks(reconstruct.boxes_once(table(spark, d, "ocr_boxes")))
+    return x.select("document_id", "page_number", F.md5("content").alias("content_md5"))
+
+
+@query(f"""WITH {_PAGES}, {_LAYOUT_CTES}, {_domain_cte()},
+    f AS (SELECT DISTINCT ON (document_id) document_id, source_filename FROM profiles WHERE document_id IS NOT NULL), n AS (SELECT document_id, count(*) page_count, sum(length(text)) total_chars FROM p GROUP BY 1),
+    og AS (SELECT document_id, CASE WHEN chars / area >= 0.001 THEN 'native_digital' WHEN images / area > 0.7 THEN 'scanned_image' ELSE 'mixed' END origin_type, round(0.5 + 0.5 * ({_FAR('chars / area', '0.001')} + {_FAR('images / area', '0.7')}) / 2, 4)::double confidence FROM first5),
+    j AS (SELECT f.*, coalesce(origin_type, 'scanned_image') origin_type, coalesce(layout_complexity, 'single_column') layout_complexity, coalesce(domain_hint, 'general') domain_hint, coalesce(page_count, 0) page_count, coalesce(total_chars, 0) total_chars, coalesce(confidence, 0.5) confidence
+      FROM f LEFT JOIN n USING (document_id) LEFT JOIN og USING (document_id) LEFT JOIN lay USING (document_id) LEFT JOIN dom USING (document_id))
+    SELECT document_id, source_filename, origin_type, layout_complexity, 'en' "language", 0.5::double language_confidence, domain_hint,
+      CASE WHEN origin_type = 'scanned_image' THEN 'needs_vision_model' WHEN origin_type = 'native_digital' AND layout_complexity = 'single_column' THEN 'fast_text_sufficient' ELSE 'needs_layout_model' END estimated_extraction_cost, page_count::int page_count, total_chars::bigint total_chars, confidence::double confidence FROM j""")
+def document_profiles(spark: SparkSession, d: str) -> DataFrame:
+    return triage.profiles(_profiles(spark, d), _pages(spark, d), _words(spark, d))
+
+
+@query(
+    f"""WITH {_PROFILES}, n AS (SELECT c.class, 3 - count(k.class) needed FROM (VALUES ('A'), ('B'), ('C'), ('D')) c(class) LEFT JOIN (SELECT * FROM k WHERE origin_type = 'scanned_image') k ON k.class = c.class GROUP BY 1),
+    g AS (SELECT CASE WHEN {_HAS(triage.TECHNICAL_NAMES)} THEN 'C' WHEN {_HAS(triage.FISCAL_NAMES)} THEN 'D' WHEN {_HAS(triage.ANNUAL_NAMES)} THEN 'A' END class, document_id, source_filename FROM p WHERE coalesce(origin_type, '') <> 'scanned_image')
+    SELECT n.class, needed::bigint needed, document_id, source_filename FROM n LEFT JOIN g ON g.class = n.class WHERE needed > 0"""
+)
+def coverage_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """As if only the scanned documents were profiled yet: which others may fill the classes that lack documents."""
+    p = _profiles(spark, d)
+    return triage.gap_candidates(p.where("origin_type = 'scanned_image'"), p)
 
 
 _TRIES = f"""{_PAGES}, o AS (SELECT DISTINCT ON (box_id) document_id, page_number, text, confidence FROM ocr_boxes WHERE box_id IS NOT NULL),
@@ -451,17 +558,46 @@ def merged_pages(spark: SparkSession, d: str) -> DataFrame:
     return triage.merge_pages(_tries(spark, d))
 
 
-@query()
+def _escalation_sql(budget: float = 0.5) -> str:
+    """Four steps, one for each way; vision isn't allowed."""
+    least, cost = "CASE tier WHEN 'fast_text' THEN 0.6 WHEN 'layout_aware' THEN 0.5 WHEN 'ocr_heavy' THEN 0.4 ELSE 0.0 END", "CASE tier WHEN 'layout_aware' THEN 0.01 WHEN 'ocr_heavy' THEN 0.05 WHEN 'vision_augmented' THEN 0.1 ELSE 0.0 END"
+    steps = []
+    for k in range(4):
+        steps.append(f"""at{k} AS (SELECT *, {least} least, tier IN ('ocr_heavy', 'vision_augmented') AND cost >= {budget} blocked FROM (SELECT document_id, chain[{k + 1}] tier, cost, narrowed FROM ch JOIN s{k} USING (document_id) WHERE len(chain) > {k} AND going) WHERE tier <> 'vision_augmented'),
+  y{k} AS (SELECT g.*, a.tier, a.least, t.n_chars nc, t.page_confidence npc, t.doc_confidence dc, a.tier IS NOT NULL AND NOT coalesce(blocked, false) AND todo AND t.doc_confidence IS NOT NULL gave FROM g{k} g LEFT JOIN at{k} a USING (document_id) LEFT JOIN tr t ON t.document_id = g.document_id AND t.strategy = a.tier AND t.page_number = g.page_number),
+  x{k} AS (SELECT *, n_chars IS NOT NULL AND (n_chars < 50 OR (page_confidence > 0 AND page_confidence < least)) weak FROM (SELECT document_id, page_number, todo, tier, least, dc, gave, CASE WHEN better THEN coalesce(nc, 0) ELSE n_chars END n_chars, CASE WHEN better THEN npc ELSE page_confidence END page_confidence
+    FROM (SELECT *, gave AND (n_chars IS NULL OR coalesce(nc, 0) > n_chars) better FROM y{k}))),
+  d{k} AS (SELECT *, more AND n_weak > 0 narrow FROM (SELECT *, NOT blocked AND sure < least more FROM (SELECT a.*, coalesce(n_pages, 0) n_pages, coalesce(n_weak, 0) n_weak, CASE WHEN blocked THEN 0.0 ELSE coalesce(conf, 0.0) END sure FROM at{k} a
+    LEFT JOIN (SELECT document_id, sum(gave::int) n_pages, sum(weak::int) n_weak, max(dc) FILTER (gave) conf FROM x{k} GROUP BY 1) USING (document_id)))),
+  e{k} AS (SELECT {k} depth, d.*, sc.page_scope FROM d{k} d LEFT JOIN (SELECT document_id, list(DISTINCT page_number ORDER BY page_number) page_scope FROM x{k} JOIN (SELECT document_id, narrow FROM d{k} WHERE narrow OR narrowed) USING (document_id) WHERE CASE WHEN narrow THEN weak ELSE todo END GROUP BY 1) sc USING (document_id)),
+  s{k + 1} AS (SELECT s.document_id, round(s.cost + coalesce(CASE WHEN d.blocked THEN 0.0 ELSE {cost} * greatest(n_pages, 1) END, 0), 6) cost, coalesce(d.more OR d.blocked, s.going) going, coalesce(d.narrowed OR d.narrow, s.narrowed) narrowed FROM s{k} s LEFT JOIN d{k} d USING (document_id)),
+  g{k + 1} AS (SELECT x.document_id, page_number, CASE WHEN coalesce(narrow, false) THEN weak ELSE todo END todo, n_chars, page_confidence FROM x{k} x LEFT JOIN d{k} USING (document_id))""")
+    lists = "['layout_aware', 'ocr_heavy', 'vision_augmented']"
+    return f"""WITH {_PAGES}, {_PROFILES.replace("p AS (", "pr AS (", 1).replace("FROM p)", "FROM pr)")}, {_SIGNALS},
+  ch AS (SELECT document_id, CASE WHEN origin_type = 'scanned_image' THEN ['ocr_heavy', 'vision_augmented'] WHEN origin_type = 'mixed' OR cost = 'needs_layout_model' OR layout_complexity IN ('table_heavy', 'figure_heavy', 'multi_column') THEN {lists} ELSE list_prepend('fast_text', {lists}) END chain FROM k),
+  oc AS (SELECT document_id, page_number, sum(length(text)) n_chars, (sum(confidence::decimal(20,6)) / count(*))::double page_confidence FROM (SELECT DISTINCT ON (box_id) * FROM ocr_boxes WHERE box_id IS NOT NULL) GROUP BY 1, 2),
+  tr AS (SELECT document_id, 'fast_text' strategy, page_number, length(text) n_chars, {_PAGE_SURE} page_confidence, round_even(0.6 * least(chars / area / 0.02, 1.0) + 0.4 * greatest(0.0, 1 - images / area / 0.5), 4)::double doc_confidence FROM p JOIN signals USING (document_id)
+    UNION ALL SELECT document_id, 'ocr_heavy', page_number, n_chars, page_confidence, round_even(least((coalesce(s, 0) / n)::double, 1.0), 4)::double FROM oc JOIN ocr USING (document_id)),
+  g0 AS (SELECT document_id, page_number, true todo, NULL::bigint n_chars, NULL::double page_confidence FROM p), s0 AS (SELECT document_id, 0.0::double cost, true going, false narrowed FROM ch),
+  {", ".join(steps)}, e AS ({" UNION ALL ".join(f"SELECT * FROM e{k}" for k in range(4))})
+  SELECT document_id, depth, tier strategy_used, n_pages::bigint n_pages, sure::double confidence_score, CASE tier WHEN 'fast_text' THEN 'low' WHEN 'layout_aware' THEN 'medium' WHEN 'ocr_heavy' THEN 'high' ELSE 'extreme' END cost_estimate, array_to_string(page_scope, ',') page_scope,
+    CASE WHEN blocked THEN 'budget_exhausted (' || printf('%.2f', cost) || ')' END failure_reason, more escalation_triggered, CASE WHEN narrow THEN 'page-level escalation: ' || n_weak || ' pages below ' || least::double || ' confidence' WHEN more THEN 'confidence ' || printf('%.4f', sure) || ' < ' || least::double END escalation_reason, sure < 0.4 flagged_for_review FROM e"""
+
+
+@query(_escalation_sql())
 def escalation(spark: SparkSession, d: str) -> DataFrame:
-    pages = _pages(spark, d)
-    share = F.col("n_chars") / (F.col("width") * F.col("height"))
-    a = pages.withColumn("page_confidence", reconstruct.fast_text_confidence(share, F.col("image_area") / (F.col("width") * F.col("height"))))
-    o = reconstruct.boxes_once(table(spark, d, "ocr_boxes")).groupBy("document_id", "page_number").agg(F.sum(F.length("text")).alias("n_chars"), F.avg("confidence").alias("page_confidence"))
-    tries = a.select("document_id", F.lit("fast_text").alias("strategy"), "page_number", "n_chars", "page_confidence").unionByName(o.select("document_id", F.lit("ocr_heavy").alias("strategy"), "page_number", "n_chars", "page_confidence"))
-    whole = tries.groupBy("document_id", "strategy").agg(F.avg("page_confidence").alias("doc_confidence"))
-    tries = tries.join(whole, ["document_id", "strategy"]).withColumn("error", F.lit(None).cast("string"))
+    """The ledger of all documents, of text and of recognised lines as the ways there are; a layout model isn't here, and gives nothing."""
+    area = F.col("width") * F.col("height")
+    pages = cut(_sure_pages(spark, d))
+    total = pages.groupBy("document_id").agg(F.sum("n_chars").alias("c"), F.sum(area).alias("a"), F.sum(F.col("image_area").cast("decimal(20,6)")).cast("double").alias("i"))
+    total = total.select("document_id", F.bround(reconstruct.fast_text_confidence(F.col("c") / F.col("a"), F.col("i") / F.col("a")), 4).alias("doc_confidence"))
+    boxes = cut(reconstruct.boxes_once(table(spark, d, "ocr_boxes")).groupBy("document_id", "page_number").agg(F.sum(F.length("text")).alias("n_chars"), F.sum(F.col("confidence").cast("decimal(20,6)")).alias("s"), F.count("*").alias("n")))
+    sure = boxes.groupBy("document_id").agg(reconstruct.ocr_confidence(F.sum("s").cast("double"), F.sum("n")).alias("doc_confidence"))
+    tries = pages.join(total, "document_id").select("document_id", F.lit("fast_text").alias("strategy"), "page_number", F.col("n_chars").cast("long").alias("n_chars"), "page_confidence", "doc_confidence")
+    tries = tries.unionByName(boxes.join(sure, "document_id").select("document_id", F.lit("ocr_heavy").alias("strategy"), "page_number", "n_chars", (F.col("s") / F.col("n")).cast("double").alias("page_confidence"), "doc_confidence"))
     chains = _profiles(spark, d).select("document_id", triage.chain("origin_type", "layout_complexity", triage.cost("origin_type", "layout_complexity")).alias("chain"))
-    return triage.escalate(pages, chains, tries).withColumn("confidence", F.round("confidence", 6))
+    ledger, _ = triage.escalate(pages, chains, tries.withColumn("error", F.lit(None).cast("string")))
+    return ledger.drop("fallback_trigger").withColumn("page_scope", F.array_join("page_scope", ","))
 
 
 # Recognised boxes.
@@ -475,7 +611,19 @@ def distinct_boxes(spark: SparkSession, d: str) -> DataFrame:
     return reconstruct.distinct_boxes(reconstruct.boxes_once(table(spark, d, "ocr_boxes"))).select("box_id", "text")
 
 
-@query()
+_ROW = "CASE WHEN abs(x.y - a.y) > x.t THEN {'y': x.y, 't': x.t, 'r': a.r + 1, 's': list_append(a.s, a.r + 1)} ELSE {'y': a.y, 't': a.t, 'r': a.r, 's': list_append(a.s, a.r)} END"
+
+
+@query(
+    f"""WITH {_BOXES}, w AS (SELECT *, (y1 + y2) / 2 yc, greatest(8.0, 0.012 * page_height) tol FROM o WHERE {T.sql_strip("coalesce(text, '')")} <> ''),
+    l AS (SELECT document_id, page_number, list({{'b': box_id, 'y': yc, 't': tol}} ORDER BY yc, idx, box_id) bs FROM w GROUP BY 1, 2),
+    f AS (SELECT document_id, page_number, bs, (list_reduce([{{'y': q.y, 't': q.t, 'r': 1, 's': [1]}} FOR q IN bs], lambda a, x: {_ROW})).s rs FROM l),
+    u AS (SELECT unnest(bs).b box_id, unnest(rs) r FROM f), j AS (SELECT w.*, r FROM w JOIN u USING (box_id)),
+    g AS (SELECT document_id, page_number, r, list({{'text': {T.sql_strip('text')}, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY (x1 + x2) / 2, idx, box_id) bs FROM j GROUP BY 1, 2, 3),
+    s AS (SELECT document_id, page_number, r, CASE WHEN len(bs) = 2 AND bs[2].x1 - bs[1].x2 < 20 THEN [[bs[1]], [bs[2]]] ELSE [bs] END ps FROM g), t AS (SELECT document_id, page_number, r, unnest(ps) p, generate_subscripts(ps, 1) part FROM s)
+    SELECT document_id, page_number, (row_number() OVER (PARTITION BY document_id, page_number ORDER BY r, part))::int row_no, array_to_string([q.text FOR q IN p], ' | ') text, len(p)::int n_boxes,
+      list_min([q.x1 FOR q IN p]) x1, list_min([q.y1 FOR q IN p]) y1, list_max([q.x2 FOR q IN p]) x2, list_max([q.y2 FOR q IN p]) y2 FROM t"""
+)
 def rows_of_boxes(spark: SparkSession, d: str) -> DataFrame:
     return reconstruct.rows(reconstruct.boxes_once(table(spark, d, "ocr_boxes")))
 
@@ -489,14 +637,19 @@ def running_confidence(spark: SparkSession, d: str) -> DataFrame:
     return reconstruct.running_confidence(b).select("document_id", "page_number", F.round(F.col("confidence").cast("double"), 6).alias("confidence"))
 
 
+_THIRD = "(page_count // 3)"
+_SAMPLED = f"""CASE WHEN page_count <= 0 THEN [] WHEN page_count <= 5 THEN range(1, page_count + 1) ELSE list_concat(list_concat([1], [{_THIRD} + 1 + i * greatest(1, {_THIRD} // 3) FOR i IN range(0, least(3, {_THIRD}))]), [2 * {_THIRD} + 1])[1:5] END"""
+_UNIFORM = "CASE WHEN page_count <= 0 THEN [] WHEN page_count <= 4 THEN range(1, page_count + 1) ELSE list_sort(list_distinct([(round_even(i * (page_count - 1) / 3, 0) + 1)::bigint FOR i IN range(0, 4)])) END"
+
+
 @query(
-    """WITH p AS (SELECT DISTINCT document_id, page_count FROM profiles WHERE document_id IS NOT NULL)
-    SELECT document_id, unnest(list_sort(list_distinct(list_filter([1, (page_count + 1) // 2, page_count, page_count + 1, 0], lambda x: x >= 1 AND x <= page_count))))::int page_number FROM p"""
+    f"""WITH p AS (SELECT DISTINCT document_id, coalesce(page_count, 0)::bigint page_count FROM profiles WHERE document_id IS NOT NULL), s AS (SELECT document_id, unnest(['thirds', 'uniform', 'head']) strategy, unnest([{_SAMPLED}, {_UNIFORM}, range(1, least(page_count, 3) + 1)]) pages FROM p)
+    SELECT document_id, strategy, unnest(pages)::int page_number FROM s"""
 )
 def sampled_pages(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("page_count")
-    pages = F.array(F.lit(1), F.floor((n + 1) / 2).cast("int"), n, n + 1, F.lit(0))
-    return _profiles(spark, d).select("document_id", F.explode(sampling.clamp(pages, "page_count")).alias("page_number"))
+    p = _profiles(spark, d)
+    ways = F.array(*(F.struct(F.lit(w).alias("strategy"), sampling.clamp(sampling.sampled("page_count", n, w), "page_count").alias("pages")) for w, n in (("thirds", 5), ("uniform", 4), ("head", 3))))
+    return p.select("document_id", F.explode(ways).alias("w")).select("document_id", "w.strategy", F.explode("w.pages").alias("page_number"))
 
 
 # Vectors. A query vector is the first stored one.
@@ -528,6 +681,26 @@ def nearest_to_each(spark: SparkSession, d: str) -> DataFrame:
     return vectors.nearest_to_each(v, q, 5).withColumn("distance", F.round("distance", 6))
 
 
+_EACH = "WITH s AS (SELECT q.vec_id query_id, v.vec_id id, q.label ql, v.label vl, 1 - list_cosine_similarity(v.embedding::double[], q.embedding::double[]) distance FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0 {0}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 12), id) place FROM s)"
+
+
+@query(_EACH.format("AND q.label = v.label") + " SELECT query_id, id, round(distance, 6) distance, place::int place FROM r WHERE place <= 5")
+def nearest_in_own_label(spark: SparkSession, d: str) -> DataFrame:
+    """The search with a filter of metadata, for every query: among the vectors of its own label."""
+    v = table(spark, d, "embeddings").withColumn("id", F.col("vec_id"))
+    return vectors.nearest_to_each(v, v.where("vec_id % 20 = 0").withColumn("query_id", F.col("vec_id")), 5, within="label").withColumn("distance", F.round("distance", 6))
+
+
+@query(_EACH.format("") + " SELECT query_id, id, round(distance, 6) distance, place::int place FROM r WHERE place <= 5 AND ql = vl")
+def nearest_then_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """The search over all vectors, and only then the filter: fewer rows than were asked for, or none."""
+    v = table(spark, d, "embeddings").withColumn("id", F.col("vec_id"))
+    near = vectors.nearest_to_each(v, v.where("vec_id % 20 = 0").withColumn("query_id", F.col("vec_id")), 5)
+    label = v.select("id", "label")
+    x = near.join(label, "id").join(label.select(F.col("id").alias("query_id"), F.col("label").alias("own")), "query_id").where("label = own")
+    return x.select("query_id", "id", F.round("distance", 6).alias("distance"), "place")
+
+
 @query(f"WITH c AS (SELECT DISTINCT chunk_id, document_id, content FROM chunks WHERE content IS NOT NULL), {_QUESTIONS} SELECT question_id, chunk_id, round({T.sql_overlap('question', 'content')}, 6)::double score FROM c JOIN questions USING (document_id)")
 def overlap_score(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "chunks").where("content IS NOT NULL").select("chunk_id", "document_id", "content").distinct()
@@ -537,27 +710,45 @@ def overlap_score(spark: SparkSession, d: str) -> DataFrame:
 # Answers and audits.
 
 
-def _evidence(spark: SparkSession, d: str, audit: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    q = _questions(spark, d)
-    c = table(spark, d, "chunks").where("content IS NOT NULL AND chunk_id IS NOT NULL").groupBy("chunk_id").agg(*(F.first(x).alias(x) for x in ("document_id", "content", "page_number", "content_hash", "ldu_idx")))
-    f = _facts(spark, d)
-    e = entities.fact_edges(f).groupBy("document_id", "source", "relation", "target").agg(F.min("page_ref").alias("page_ref"), F.max("confidence").alias("confidence"))
-    return q, c, answers.evidence(q, c, f, e, audit)
+def _evidence(spark: SparkSession, d: str, audit: bool = False, plain: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Questions, chunks and evidence from the sections, chunks, facts and the whole graph."""
+    q, c, f = cut(_questions(spark, d)), _chunks(spark, d), _facts(spark, d)
+    e = None if plain else entities.graph(f, c)
+    s = None if audit or plain else sections.choose_sections(_nodes(c), q)
+    n = None if audit or plain else entities.entities(c, f, ["organization", "date"])
+    return q, c, answers.evidence(q, c, f, e, s, n, audit, plain)
 
 
-def _evidence_sql(audit: bool) -> str:
+def _evidence_sql(audit: bool, plain: bool = False) -> str:
     numeric = "true" if audit else "(" + " OR ".join("contains(lower(question), '" + w + "')" for w in answers.NUMERIC) + ")"
-    return f"""WITH {_QUESTIONS}, {_FACT_EDGES},
-  c AS (SELECT DISTINCT ON (chunk_id) chunk_id, document_id, content, page_number, content_hash, ldu_idx FROM chunks WHERE content IS NOT NULL AND chunk_id IS NOT NULL),
-  fx AS (SELECT DISTINCT ON (fact_id) * FROM facts),
-  e AS (SELECT document_id, source, relation, target, min(page_ref) page_ref FROM fe GROUP BY 1, 2, 3, 4),
-  s1 AS (SELECT question_id, 1 source_no, ldu_idx ord, content, page_number, content_hash, {T.sql_overlap('question', 'content')} score FROM c JOIN questions USING (document_id)),
-  s2 AS (SELECT question_id, 2 source_no, fact_id ord, content, page_ref page_number, content_hash, {T.sql_overlap('question', 'content')} score FROM (SELECT *, concat_ws(' ', key || ':', "value", nullif(unit, '')) content FROM fx) JOIN questions USING (document_id) WHERE {numeric}),
-  s3 AS (SELECT question_id, 3 source_no, page_ref ord, content, page_ref page_number, NULL content_hash, {T.sql_overlap('question', 'content')} score FROM (SELECT *, concat_ws(' ', source, replace(relation, '_', ' '), target) content FROM e) JOIN questions USING (document_id)),
-  s AS (SELECT * FROM s1 WHERE score {'>= 0.3' if audit else '> 0'} UNION ALL SELECT * FROM s2 WHERE score {'>= 0.2' if audit else '> 0'} UNION ALL SELECT * FROM s3 WHERE score >= 0.25),
-  r AS (SELECT *, row_number() OVER (PARTITION BY question_id, source_no ORDER BY score DESC, ord, content) rank FROM s),
-  evidence AS (SELECT question_id, source_no, rank ord, content, page_number, content_hash, score FROM r WHERE rank <= CASE source_no WHEN 1 THEN {10 if audit else 5} WHEN 2 THEN 10 ELSE 5 END),
-  cites AS (SELECT question_id, page_number, arg_min(content_hash, source_no * 1000 + ord) content_hash, min(source_no * 1000 + ord) f FROM evidence WHERE page_number IS NOT NULL GROUP BY 1, 2)"""
+    found = " UNION ALL ".join(f"SELECT document_id, {PAGE} page, '{k}' entity_type, unnest({x}) w FROM a" for k, x in _FOUND.items())
+    over = lambda c: T.sql_overlap("question", c)
+    hit = lambda c, h: f"({h} IS NULL OR contains(lower(coalesce({c}, '')), lower({h})))"
+    fact = "SELECT question_id, question, 2 source_no, row_number() OVER (PARTITION BY question_id ORDER BY {o}) ord, content, page_ref page_number, content_hash FROM fq WHERE {w}"
+    if audit:
+        facts_ = fact.format(o="fact_id", w=f"{over('content')} >= 0.2")
+    elif plain:
+        facts_ = fact.format(o="fact_id", w="true")
+    else:
+        text = over("concat_ws(' ', key, \"value\", entity, metric)")
+        facts_ = "SELECT * FROM (" + fact.format(o=f"{text} DESC, fact_id", w=f"{text} > 0 AND {hit('entity', 'entity_hint')} AND {hit('period', 'period_hint')}") + ") WHERE ord <= 10"
+    parts = [f"""SELECT question_id, question, source_no, ord, content, page_number, content_hash FROM (SELECT question_id, question, 1 source_no, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, ldu_idx, content) ord, content, page_number, content_hash, score
+      FROM (SELECT question_id, question, ldu_idx, content, page_number, content_hash, {over('content')} score FROM c JOIN questions USING (document_id)) WHERE score > 0) WHERE ord <= {10 if audit else 5}{' AND score >= 0.3' if audit else ''}""", facts_]
+    if not plain:
+        written = "txt" if audit else "'[KG] ' || source || ' → ' || relation || ' → ' || target"
+        parts.append(f"""SELECT * FROM (SELECT question_id, question, 3 source_no, row_number() OVER (PARTITION BY question_id ORDER BY kind, page_ref, source, relation, target) ord, {written} content, page_ref page_number, NULL content_hash
+      FROM (SELECT *, concat_ws(' ', source, relation, target) txt FROM edges JOIN questions USING (document_id)) WHERE {over('txt')} >= 0.25){'' if audit else ' WHERE ord <= 5'}""")
+    if not audit and not plain:
+        parts.append("SELECT question_id, question, 0, place, '[Section: ' || title || '] ' || summary, page_start, NULL FROM chosen JOIN questions USING (question_id)")
+    return f"""{_NAMED_NODES}, {_QUESTIONS}, {_CHOSEN}, a AS (SELECT document_id, ldu_idx, chunk_id, chunk_type, content, page_refs FROM c),
+  m AS ({found}), named AS (SELECT document_id, page, entity_type, {_COMMON('w')} entity_name FROM m), {_EVERY_CTES}, {_GRAPH_CTES},
+  en AS (SELECT document_id, entity_type, entity_name, min(page) first_page FROM every WHERE entity_type IN ('organization', 'date') GROUP BY 1, 2, 3),
+  hn AS (SELECT question_id, arg_max(entity_name, (coalesce(first_page, -1), entity_name)) FILTER (entity_type = 'organization') eh, arg_max(entity_name, (coalesce(first_page, -1), entity_name)) FILTER (entity_type = 'date') dh
+    FROM en JOIN questions USING (document_id) WHERE contains(lower(question), lower(entity_name)) GROUP BY 1),
+  hints AS (SELECT question_id, eh entity_hint, coalesce(dh, nullif(trim(regexp_extract({T.sql_ascii_words('question')}, '{answers.PERIOD}')), '')) period_hint FROM questions LEFT JOIN hn USING (question_id)),
+  fq AS (SELECT *, key || ': ' || "value" content FROM (SELECT DISTINCT ON (fact_id) * FROM facts WHERE fact_id IS NOT NULL) JOIN questions USING (document_id) JOIN hints USING (question_id) WHERE {numeric} AND key || "value" IS NOT NULL),
+  evidence AS (SELECT question_id, source_no, ord, content, page_number, content_hash, {over('content')} score FROM ({" UNION ALL ".join(f"({p})" for p in parts)})),
+  cites AS (SELECT question_id, page_number, arg_min(content_hash, source_no * 1000000 + ord) content_hash, min(source_no * 1000000 + ord) f FROM evidence WHERE page_number IS NOT NULL GROUP BY 1, 2)"""
 
 
 @query(_evidence_sql(False) + " SELECT question_id, source_no, ord::int ord, content, page_number, round(score, 6)::double score FROM evidence")
@@ -565,15 +756,24 @@ def answer_evidence(spark: SparkSession, d: str) -> DataFrame:
     return _evidence(spark, d)[2].select("question_id", "source_no", "ord", "content", "page_number", F.round("score", 6).alias("score"))
 
 
-@query(
-    _evidence_sql(False)
-    + """, b AS (SELECT question_id, content, max(score) score, min(source_no * 1000 + ord) f FROM evidence GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, f, content) place FROM b),
-    t AS (SELECT question_id, string_agg(content, ' ' ORDER BY place) answer FROM p WHERE place <= 3 GROUP BY 1), n AS (SELECT question_id, count(*) n FROM cites GROUP BY 1)
-    SELECT question_id, coalesce(answer, 'No relevant information found in the document.') answer, coalesce(n, 0) n_citations, round(least(1.0, 0.2 * coalesce(n, 0)), 6)::double confidence, coalesce(n, 0) > 0 verified FROM questions LEFT JOIN t USING (question_id) LEFT JOIN n USING (question_id)"""
-)
+_ANSWERS = """, b AS (SELECT question_id, content, max(score) score, min(source_no * 1000000 + ord) f FROM evidence WHERE content <> '' GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, f) place FROM b),
+    t AS (SELECT question_id, string_agg(content, ' ' ORDER BY place) answer FROM p WHERE place <= 3 GROUP BY 1), nc AS (SELECT question_id, count(*) n FROM cites GROUP BY 1),
+    tools AS (SELECT question_id, string_agg(['pageindex_navigate', 'semantic_search', 'structured_query', 'knowledge_graph'][source_no + 1], ',' ORDER BY source_no) tools_used FROM (SELECT DISTINCT question_id, source_no FROM evidence) GROUP BY 1)
+    SELECT question_id, coalesce(answer, 'No relevant information found in the document.') answer, coalesce(n, 0) n_citations, round(least(1.0, 0.2 * coalesce(n, 0)), 6)::double confidence, coalesce(n, 0) > 0 verified, coalesce(tools_used, '') tools_used
+    FROM questions LEFT JOIN t USING (question_id) LEFT JOIN nc USING (question_id) LEFT JOIN tools USING (question_id)"""
+
+
+@query(_evidence_sql(False) + _ANSWERS)
 def answers_to_questions(spark: SparkSession, d: str) -> DataFrame:
     q, _, found = _evidence(spark, d)
-    return answers.answers(q, found)
+    return answers.answers(q, cut(found))
+
+
+@query(_evidence_sql(False, plain=True) + _ANSWERS)
+def answers_step_by_step(spark: SparkSession, d: str) -> DataFrame:
+    """The plan that retrieves, looks up and composes, without hints, ranking of facts, sections or graph."""
+    q, _, found = _evidence(spark, d, plain=True)
+    return answers.answers(q, cut(found))
 
 
 @query(_evidence_sql(False) + " SELECT question_id, page_number, row_number() OVER (PARTITION BY question_id ORDER BY f, page_number)::int place FROM cites")
@@ -583,7 +783,7 @@ def citations(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     _evidence_sql(True)
-    + """ SELECT question_id, CASE WHEN coalesce(n, 0) > 0 THEN 'verified' WHEN document_id IN (SELECT document_id FROM c) THEN 'unverifiable' ELSE 'not_found' END status, coalesce(n, 0) n_evidence
+    + f""" SELECT question_id, CASE WHEN coalesce(n, 0) > 0 THEN 'verified' WHEN question_id IN (SELECT question_id FROM c JOIN questions USING (document_id) WHERE {T.sql_overlap('question', 'content')} > 0) THEN 'unverifiable' ELSE 'not_found' END status, coalesce(n, 0) n_evidence
     FROM questions LEFT JOIN (SELECT question_id, count(*) n FROM evidence GROUP BY 1) USING (question_id)"""
 )
 def audit_status(spark: SparkSession, d: str) -> DataFrame:

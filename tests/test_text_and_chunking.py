@@ -98,6 +98,33 @@ def test_chunks_of_blocks_carry_headings_across_pages(spark):
     assert chunking.chunk_blocks(df.limit(0)).count() == 0
 
 
+def test_long_texts_lists_and_tables_are_cut(spark, monkeypatch):
+    """Windows of a long paragraph, packs of a long list, groups of a table; references of each part."""
+    words = [f"w{i}" for i in range(1000)]
+    words[600:603] = ["see", "Table", "7"]
+    items = [f"{i}. " + " ".join([f"item{i}"] * 60) for i in range(1, 30)]
+    x = lambda i, p, k, n, c=None, h=None, r=None, cap=None: (i, "d", p, k, n, c, h, r, cap, None, None)
+    table = [["All", "1"], ["Assets", "-"], ["loans", "2"], ["cash", "3"], ["Liabilities", None], ["deposits", "4"]]
+    df = spark.createDataFrame([x("1", 1, "text", 0, " ".join(words)), x("2", 1, "text", 1, "\n".join(items)), x("3", 1, "table", 2, None, ["Item", "Amount"], table, "C"), x("4", 2, "table", 0, None, ["A"], [["see Note 3"]])], BLOCK)
+    got = chunking.chunk_blocks(df).orderBy("ldu_idx").collect()
+    assert [r.ldu_idx for r in got] == list(range(len(got)))
+    para = [r for r in got if r.block_id == "1"]
+    assert [r.content for r in para] == [" ".join(words[a : a + 512]) for a in (0, 448, 896)] and [r.token_count for r in para] == [512, 512, 104]
+    assert [[tuple(c) for c in r.cross_references] for r in para] == [[], [("table", "Table 7")], []]
+    packs = [r for r in got if r.block_id == "2"]
+    assert [r.content for r in packs] == pack(items, 512) and len(packs) > 2 and all(r.chunk_type == "list" and r.token_count <= 512 for r in packs)
+    head = "Caption: C\nItem | Amount\n--- | ---\n"
+    groups = [(r.content, r.subgroup_label, r.table_id, r.parent_table_id, r.cross_references) for r in got if r.block_id == "3"]
+    assert groups == [
+        (head + "All | 1", None, "Table_1", "Table_1", None),
+        ("[Subgroup: Assets]\n" + head + "loans | 2\ncash | 3", "Assets", "Table_1", "Table_1", None),
+        ("[Subgroup: Liabilities]\n" + head + "deposits | 4", "Liabilities", "Table_1", "Table_1", None),
+    ]
+    last = got[-1]
+    assert last.table_id == "Table_2" and last.parent_table_id is None and [tuple(c) for c in last.cross_references] == [("note", "Note 3")]
+    assert {r.chunk_type for r in got if r.token_count > chunking.MAX_TOKENS} == set()
+
+
 def test_violations(spark, rows):
     h = hashlib.sha256(b"ok").hexdigest()
     long = "w " * 600

@@ -69,7 +69,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def minwise(texts: list[list[str]], n: int) -> np.ndarray:
-    """(len(texts), TOKENS) minwise tokens of the word n-grams; every text has n words or more."""
+    """(len(texts), TOKENS) minwise tokens of the word n-grams, in 16 bits: two unlike tokens agree once in 65,536. Every text has n words or more."""
     length = np.array([len(t) for t in texts])
     w = np.fromiter((_HASHES[x] for t in texts for x in t), np.uint64, int(length.sum()))
     grams = w[: len(w) - n + 1].copy()
@@ -81,9 +81,10 @@ def minwise(texts: list[list[str]], n: int) -> np.ndarray:
         inside[ends - k] = False
     x = (_mixed(grams[inside[: len(grams)]]) >> np.uint64(32)).astype(np.uint32)
     starts = np.cumsum(length - n + 1) - (length - n + 1)
-    out = np.empty((len(texts), TOKENS), np.uint32)
+    out = np.empty((len(texts), TOKENS), np.uint16)
     for i in range(TOKENS):
-        out[:, i] = np.minimum.reduceat(x * _MULTIPLY[i] + _ADD[i], starts)
+        least = np.minimum.reduceat(x * _MULTIPLY[i] + _ADD[i], starts)
+        out[:, i] = (least * np.uint32(0x9E3779B1)) >> np.uint32(16)  # a minimum is small: its lower bits tell it from others
     return out
 
 
@@ -111,7 +112,7 @@ def _signed(n: int, least_words: int):  # noqa: ANN202
                     continue
                 texts = [texts[i] for i in keep]
                 cls = np.array([xxhash.xxh64_intdigest(" ".join(t)) for t in texts], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), pa.array(cls), _fixed(minwise(texts, n), 4 * TOKENS)], names=["id", "cls", "minwise"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), pa.array(cls), _fixed(minwise(texts, n), 2 * TOKENS)], names=["id", "cls", "minwise"])
 
     return run
 
@@ -128,7 +129,7 @@ def _extended(k: np.ndarray, token: np.ndarray, c: int) -> np.ndarray:
 
 def _sketch(m: np.ndarray) -> np.ndarray:
     """4 bits of each token, 16 tokens a column."""
-    low = (m ^ (m >> 13)).astype(np.uint8) & 15
+    low = (m ^ (m >> np.uint16(5))).astype(np.uint8) & 15
     return np.ascontiguousarray(low[:, ::2] | (low[:, 1::2] << 4)).view(np.int64)
 
 
@@ -140,7 +141,7 @@ def _sketches(b: pa.RecordBatch | pa.Table) -> np.ndarray:
 
 
 def _minwise(c: pa.Array) -> np.ndarray:
-    return _bytes(c, 4 * TOKENS).copy().view(np.uint32)
+    return _bytes(c, 2 * TOKENS).copy().view(np.uint16)
 
 
 #: Tokens that a member of a large node takes along: those its tree branches by further down.
@@ -169,7 +170,7 @@ def _rooted(trees: int, first: int, what: str):  # noqa: ANN202
                         k = _extended(k, m[:, c], c)
                     own["node"] = pa.array(k.view(np.int64))
                     if what == "members":
-                        own |= {"tree": pa.array(np.full(len(m), t, np.int32)), "rest": _fixed(m[:, [path[(first + i) % TOKENS] for i in range(_REST)]], 4 * _REST)}
+                        own |= {"tree": pa.array(np.full(len(m), t, np.int32)), "rest": _fixed(m[:, [path[(first + i) % TOKENS] for i in range(_REST)]], 2 * _REST)}
                     yield pa.RecordBatch.from_arrays([own[c] for c in _COLUMNS[what]], names=_COLUMNS[what])
 
     return run
@@ -183,7 +184,7 @@ def _branched(level: int, what: str):  # noqa: ANN202
             for at in range(0, whole.num_rows, 20_000):
                 b = whole.slice(at, 20_000)
                 own = dict(zip(b.schema.names, b.columns))
-                node, rest = own["node"].to_numpy().view(np.uint64), _bytes(own["rest"], 4 * _REST).copy().view(np.uint32)
+                node, rest = own["node"].to_numpy().view(np.uint64), _bytes(own["rest"], 2 * _REST).copy().view(np.uint16)
                 for child in range(BRANCH):
                     i = level * BRANCH + child
                     own["node"] = pa.array(_extended(node, rest[:, i], TOKENS + i).view(np.int64))

@@ -14,7 +14,7 @@ B = f"[{BLANKS}]"
 LINES_JAVA, LINES_RE2 = "(?md)", "(?m)"
 
 # Words without weight in comparisons.
-STOP_WORDS = "the a an is are was were be been being in on at to for of with by from as and or but not no this that it its has had have do does did will would shall should may might can could about over into".split()
+STOP_WORDS = ["the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "and", "or", "but", "not", "no", "this", "that", "it", "its", "has", "had", "have", "do", "does", "did", "will", "would", "shall", "should", "may", "might", "can", "could", "about", "over", "into"]
 
 
 def col(c: str | Column) -> Column:

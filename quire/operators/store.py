@@ -26,7 +26,7 @@ SCHEMAS = {
     "provenance_ledger": {"document_id": "string", "chunk_id": "string", "action": "string", "event_time": "timestamp", "metadata_json": "string"},
     "page_indexes": {"document_id": "string", "index_json": "string", "n_nodes": "long"},
     "fact_tables": {"fact_id": "long", "document_id": "string", "key": "string", "value": "string", "unit": "string", "page_ref": "int", "content_hash": "string", "entity": "string", "metric": "string", "period": "string", "section": "string", "extraction_method": "string", "confidence": "double"},
-    "entity_mentions": {"document_id": "string", "entity_name": "string", "entity_type": "string", "page": "int"},
+    "entity_mentions": {"document_id": "string", "entity_type": "string", "entity_name": "string", "n_mentions": "long", "first_page": "int"},
     "knowledge_graph_edges": {"document_id": "string", "source": "string", "relation": "string", "target": "string", "page_ref": "int", "confidence": "double"},
     "embeddings": {"chunk_id": "string", "document_id": "string", "page_number": "int", "chunk_type": "string", "embedding": "array<float>"},
     "profiles": {"document_id": "string", "source_filename": "string", "origin_type": "string", "layout_complexity": "string", "language": "string", "language_confidence": "double", "domain_hint": "string", "estimated_extraction_cost": "string", "page_count": "int", "total_chars": "long", "confidence": "double"},

@@ -26,14 +26,6 @@ class Decoder(Protocol):
         """(width, height, text) of each page."""
 
 
-class Embedder(Protocol):
-    def embed(self, texts: pd.Series) -> pd.Series: ...
-
-
-class Summariser(Protocol):
-    def summarise(self, titles: pd.Series, texts: pd.Series) -> pd.Series: ...
-
-
 class PlainText:
     name = "plain_text"
 

@@ -27,3 +27,15 @@ def test_commands(spark, tmp_path, capsys):
     assert "4.2B" in out and "verified" in out and "Financial Overview" in out and "report.txt" in out
     with pytest.raises(SystemExit):
         cli.main([*db, "audit"])
+    assert {(r.question, r.document_id) for r in s.read("query_logs").collect()} == {("What is the total revenue?", doc), ("Total Revenue of $4.2B for FY2024.", doc)}
+    assert s.read("page_indexes").first().n_nodes == 1 and s.read("profiles").first().page_count == 2
+    assert s.read("embeddings").count() == 2 and s.read("knowledge_graph_edges").count() > 0 and s.read("extraction_ledger").count() == 2
+    for what in ("ledger", "facts", "profile", "graph", "names"):
+        cli.main([*db, "--json", "show", what, doc])
+    cli.main([*db, "--json", "history"])
+    out = capsys.readouterr().out
+    assert out.count(f'"document_id":"{doc}"') > 8 and '"strategy_used":"plain_text"' in out
+    cli.main([*db, "export", str(tmp_path / "run"), "--doc-id", doc])
+    assert spark.read.json(str(tmp_path / "run" / "chunks")).count() == 2 and spark.read.json(str(tmp_path / "run" / "page_indexes")).first().n_nodes == 1
+    cli.main([*db, "delete", doc])
+    assert s.read("chunks").count() == s.read("embeddings").count() == s.read("documents").count() == 0 and s.read("query_logs").count() == 2

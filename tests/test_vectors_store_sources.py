@@ -61,6 +61,62 @@ def test_store(spark, tmp_path):
         store.Store(spark, str(tmp_path / "none")).read("documents")
 
 
+def test_a_write_touches_its_buckets_only(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "db"), buckets=8)
+    s.create()
+    x = lambda ids, name: spark.createDataFrame([(f"d{i}", name) for i in ids], "document_id string, source_filename string")
+    s.upsert("documents", x(range(40), "first"))
+    before = s._manifest("documents")["parts"]
+    assert len(before) > 4
+    s.upsert("documents", x([3], "second"))
+    after = s._manifest("documents")["parts"]
+    assert sum(before[b] != after[b] for b in after) == 1
+    got = {r.document_id: r.source_filename for r in s.read("documents").collect()}
+    assert len(got) == 40 and got["d3"] == "second" and list(got.values()).count("first") == 39
+    # a write that fails changes nothing
+    bad = x([1], "third").withColumn("source_filename", F.raise_error(F.lit("no")))
+    with pytest.raises(Exception, match="no"):
+        s.append("documents", bad)
+    assert s.read("documents").count() == 40
+    for _ in range(store.PARTS + 2):
+        s.append("query_logs", x([3], "q").select("document_id"))
+    assert s.read("query_logs").count() == store.PARTS + 2 and max(map(len, s._manifest("query_logs")["parts"].values())) <= store.PARTS
+    with pytest.raises(RuntimeError, match="another writer"):
+        s._commit("documents", s._last("documents"), {"buckets": 8, "parts": {}})
+
+
+def test_vectors_are_upserted_and_deleted(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "db"))
+    s.create()
+    v = lambda *r: spark.createDataFrame(r, "chunk_id string, document_id string, embedding array<float>")
+    s.upsert("embeddings", v(("a_1", "a", [1.0, 0.0]), ("b_1", "b", [0.0, 1.0])))
+    s.upsert("embeddings", v(("a_1", "a", [0.0, 1.0])))
+    assert [(r.chunk_id, round(r.distance, 6)) for r in vectors.nearest(s.read("embeddings").where(vectors.metadata({"document_id": "a"})), [0.0, 1.0], 3).collect()] == [("a_1", 0.0)]
+    s.delete_documents("embeddings", v(("", "a", None)))
+    assert [r.chunk_id for r in s.read("embeddings").collect()] == ["b_1"]
+
+
+def test_nearest_within_a_group_and_in_blocks(spark, monkeypatch):
+    v = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [1.0, 0.1], "y"), (3, [0.0, 1.0], "x"), (4, [0.5, 1.0], None), (5, [0.0, 0.0], "x"), (6, [1.0], "x")], "id long, embedding array<double>, g string").repartition(2)
+    q = v.withColumnRenamed("id", "query_id")
+    whole = {(r.query_id, r.id) for r in vectors.nearest_to_each(v, q, 2).collect()}
+    own = {(r.query_id, r.id) for r in vectors.nearest_to_each(v, q, 2, within="g").collect()}
+    assert own == {(1, 1), (1, 3), (2, 2), (3, 3), (3, 1), (6, 6)} and len(whole) == 9
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(vectors, "ROWS", 1)
+    assert {(r.query_id, r.id) for r in vectors.nearest_to_each(v, q, 2).collect()} == whole
+
+
+def test_sampled_pages_as_a_column(spark):
+    from quire.operators import sampling
+
+    x = spark.createDataFrame([(i,) for i in range(0, 40)] + [(None,)], "t int")
+    for n in (1, 2, 3, 5, 10):
+        for way in ("thirds", "uniform", "head"):
+            for r in x.select("t", sampling.sampled("t", n, way).alias("p")).collect():
+                assert r.p == sampling.sample_pages(r.t or 0, n, way), (r.t, n, way)
+
+
 def test_latest_and_recent(spark, rows):
     x = spark.createDataFrame([("a", 1, "p"), ("a", 2, None), (None, 1, "q"), ("a", 2, None)], "k string, t int, v string")
     assert rows(store.latest(x, ["k"], ["t"])) == sorted([("a", 2, None), (None, 1, "q")], key=repr)

@@ -30,6 +30,23 @@ def test_garbled_records_and_only_those(spark):
     assert mojibake.garbled(df.limit(0)).count() == 0
 
 
+def test_characters_lost_to_question_marks(spark):
+    ask = "Was this page helpful? Rate it from 1 to 5. Why? See page 3?"
+    clean = [("c", f"clean{i}", t, 1) for i in range(160) for t in [[FR, RU, EN, ask][i % 4]]]
+    bad = [("c", "fr", FR.encode("ascii", "replace").decode(), 1), ("c", "line", f"plain line\n{ask}\nL’h?tel ?tait ferm?, la soci?t? a approuv? la m?thode.", 1)]
+    got = {r.record_id: r for r in mojibake.garbled(spark.createDataFrame(clean + bad, RECORD).repartition(3)).collect()}
+    assert set(got) == {"fr", "line"} and got["fr"].restored == bad[0][2] and not got["fr"].complete and got["fr"].encodings == "lost"
+
+
+def test_spans_within_a_line(spark):
+    """Characters are labelled: two spans of one line, garbled in different ways, are each read again, and what is between them stays."""
+    good = "La société mère a différé l’été"
+    mixed = f"{good.encode().decode('latin-1')} and plain words until {'Отдел закупок завершил инвентаризацию'.encode('koi8-r').decode('cp1251')}"
+    clean = [("c", f"clean{i}", t, 1) for i in range(160) for t in [[FR, RU, EN, "plain words"][i % 4]]]
+    got = {r.record_id: r for r in mojibake.garbled(spark.createDataFrame([*clean, ("c", "m", mixed, 1)], RECORD)).collect()}
+    assert set(got) == {"m"} and got["m"].restored == f"{good} and plain words until Отдел закупок завершил инвентаризацию"
+
+
 def test_inverse():
     for pair in mojibake.PAIRS:
         t = "Отчёт" if pair[0] in ("cp1251", "koi8-r", "cp866") else "été"

@@ -35,8 +35,9 @@ def ingest(spark: SparkSession, s: store.Store, folder: str, pattern: str, decod
     s.upsert("page_indexes", sections.index_json(sections.with_key_names(sections.sections(c), sections.key_names(c))))
     f = session.cut(facts.facts(c).select(F.xxhash64("document_id", "key", "value").alias("fact_id"), "document_id", "key", "value", "unit", "page_ref", "entity", "metric", "period", "section", F.col("method").alias("extraction_method"), "confidence"))
     s.replace_documents("fact_tables", f)
-    s.replace_documents("entity_mentions", entities.entities(c, f))
-    s.replace_documents("knowledge_graph_edges", entities.graph(f, c))
+    found = session.cut(entities.on_pages(entities.names(c, f)))
+    s.replace_documents("entity_mentions", entities.entities(None, found=found))
+    s.replace_documents("knowledge_graph_edges", entities.graph(f, c, found))
     n = of_pages.groupBy("document_id").agg(F.count("*").alias("n_pages"), F.sum("n_chars").alias("n"), F.sum(F.col("width") * F.col("height")).alias("area"))
     sure = F.bround(reconstruct.fast_text_confidence(F.when(F.col("area") > 0, F.col("n") / F.col("area")).otherwise(0.0), F.lit(0.0)), 4)
     low = sure < given.review_below

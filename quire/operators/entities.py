@@ -80,8 +80,15 @@ def names(chunks: DataFrame, facts: DataFrame | None = None, kinds: list[str] |
     return x.unionByName(f.where(F.col("entity_type").isin(kinds)) if kinds else f)
 
 
-def entities(chunks: DataFrame, facts: DataFrame | None = None, kinds: list[str] | None = None) -> DataFrame:
-    """(document_id, entity_type, entity_name, n_mentions, first_page); the mentions themselves are rows of ``mentions``."""
+def on_pages(found: DataFrame) -> DataFrame:
+    """(document_id, entity_type, entity_name, page, n): the names of ``names`` with their number on each page, for ``entities`` and ``graph`` to share."""
+    return found.groupBy("document_id", "entity_type", "entity_name", "page").agg(F.count("*").alias("n"))
+
+
+def entities(chunks: DataFrame | None, facts: DataFrame | None = None, kinds: list[str] | None = None, found: DataFrame | None = None) -> DataFrame:
+    """(document_id, entity_type, entity_name, n_mentions, first_page); the mentions themselves are rows of ``mentions``. found: of ``on_pages``, in place of the rest."""
+    if found is not None:
+        return found.groupBy("document_id", "entity_type", "entity_name").agg(F.sum("n").alias("n_mentions"), F.min("page").alias("first_page"))
     return names(chunks, facts, kinds).groupBy("document_id", "entity_type", "entity_name").agg(F.count("*").alias("n_mentions"), F.min("page").alias("first_page"))
 
 
@@ -96,13 +103,16 @@ def fact_edges(facts: DataFrame) -> DataFrame:
 CO_OCCURS = "co_occurs_on_page"
 
 
-def page_edges(chunks: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-    """Each name on a page, of any type, with the next NEIGHBOURS names of the page in alphabetical order."""
-    x, found = _found(chunks, KINDS)
-    # a name often stands in a chunk many times, and under several types
-    x = x.select("document_id", "page", F.explode(F.array_distinct(F.transform(found, lambda e: e["name"]))).alias("name")).select("document_id", "page", _named(F.col("name")).alias("entity_name"))
-    if facts is not None:
-        x = x.unionByName(fact_names(facts).select("document_id", "page", "entity_name"))
+def page_edges(chunks: DataFrame, facts: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
+    """Each name on a page, of any type, with the next NEIGHBOURS names of the page in alphabetical order. found: of ``on_pages``, so that texts aren't read again."""
+    if found is None:
+        x, all_ = _found(chunks, KINDS)
+        # a name often stands in a chunk many times, and under several types
+        x = x.select("document_id", "page", F.explode(F.array_distinct(F.transform(all_, lambda e: e["name"]))).alias("name")).select("document_id", "page", _named(F.col("name")).alias("entity_name"))
+        if facts is not None:
+            x = x.unionByName(fact_names(facts).select("document_id", "page", "entity_name"))
+    else:
+        x = found.select("document_id", "page", "entity_name")
     once_ = x.where("entity_name <> '' AND document_id IS NOT NULL AND page <> 0").distinct()
     # a page's names: a bounded group
     following = [F.expr(f"lead(entity_name, {k}) OVER (PARTITION BY document_id, page ORDER BY entity_name)") for k in range(1, NEIGHBOURS + 1)]
@@ -116,7 +126,7 @@ def reference_edges(chunks: DataFrame) -> DataFrame:
     return x.select("document_id", F.concat(F.lit("page:"), "page_ref").alias("source"), F.concat(F.lit("references_"), "x.target_type").alias("relation"), F.col("x.target_label").alias("target"), "page_ref", F.lit(0.4).alias("confidence"))
 
 
-def graph(facts: DataFrame, chunks: DataFrame) -> DataFrame:
+def graph(facts: DataFrame, chunks: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(document_id, source, relation, target, page_ref, confidence): every edge once per document, the first of its page.
 
     Names from facts are in their common form, so that they meet those of pages in one node. The three kinds of edges have relations of
@@ -125,7 +135,7 @@ def graph(facts: DataFrame, chunks: DataFrame) -> DataFrame:
     key = ["document_id", "source", "relation", "target"]
     of_facts = fact_edges(facts).withColumns({c: _named(F.col(c)) for c in ("source", "target")}).where("source <> '' AND target <> ''")
     of_facts = of_facts.groupBy(*key).agg(F.min(F.struct("page_ref", (-F.col("confidence")).alias("c"))).alias("f")).select(*key, "f.page_ref", (-F.col("f.c")).alias("confidence"))
-    pages = page_edges(chunks, facts).groupBy("document_id", "source", "target").agg(F.min("page_ref").alias("page_ref")).select("document_id", "source", F.lit(CO_OCCURS).alias("relation"), "target", "page_ref", F.lit(0.5).alias("confidence"))
+    pages = page_edges(chunks, facts, found).groupBy("document_id", "source", "target").agg(F.min("page_ref").alias("page_ref")).select("document_id", "source", F.lit(CO_OCCURS).alias("relation"), "target", "page_ref", F.lit(0.5).alias("confidence"))
     refers = reference_edges(chunks).groupBy(*key).agg(F.min("page_ref").alias("page_ref")).select(*key, "page_ref", F.lit(0.4).alias("confidence"))
     return of_facts.unionByName(pages).unionByName(refers)
 

@@ -713,9 +713,10 @@ def overlap_score(spark: SparkSession, d: str) -> DataFrame:
 def _evidence(spark: SparkSession, d: str, audit: bool = False, plain: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Questions, chunks and evidence from the sections, chunks, facts and the whole graph."""
     q, c, f = cut(_questions(spark, d)), _chunks(spark, d), _facts(spark, d)
-    e = None if plain else entities.graph(f, c)
+    found = None if plain else cut(entities.on_pages(entities.names(c, f)))  # for the graph and the hints
+    e = None if plain else entities.graph(f, c, found)
     s = None if audit or plain else sections.choose_sections(_nodes(c), q)
-    n = None if audit or plain else entities.entities(c, f, ["organization", "date"])
+    n = None if audit or plain else entities.entities(None, found=found.where("entity_type IN ('organization', 'date')"))
     return q, c, answers.evidence(q, c, f, e, s, n, audit, plain)
 
 

@@ -42,6 +42,8 @@ STAY = math.log(0.9)
 LEAVE = math.log(0.1)
 #: To change state between two characters beyond ASCII: a wrong decoding seldom begins within a run of them.
 INSIDE = math.log(0.001)
+#: States so much less likely than the best one are given up.
+BEAM = 30.0
 _ALPHA, _FLOOR = 2.0, 1e-9
 #: Characters that one written character may have become, by the number of times it was read wrongly.
 _LONGEST = {1: 4, 2: 9, 3: 18}
@@ -146,6 +148,7 @@ class Model:
         self.odd = odd
         self.units: dict[tuple[int, str], tuple[int, int] | None] = {}
         self.gains: dict[str, float] = {}
+        self.starts: dict[str, list[int]] = {}
 
     def back(self, c: int) -> float:
         return self.char.get(c, 0) / self.total + _FLOOR
@@ -193,6 +196,24 @@ class Model:
         self.units[key] = found
         return found
 
+    def beginning(self, c: str) -> list[int]:
+        """The states that may be entered at the character: their inverse makes another character of it, alone or with those after it, that occurs in the records."""
+        x = self.starts.get(c)
+        if x is None:
+            x = [LOST] if c in "?\ufffd" else []
+            for k, (written, read, times) in enumerate(PAIRS, 1):
+                try:
+                    b = _bytes(c, read)[0] if c > "\x7f" else 0
+                except UnicodeError:
+                    continue
+                if written == "utf-8":
+                    if 0xC2 <= b <= 0xF4:
+                        x.append(k)
+                elif c > "\x7f" and (u := self.unit(k, c, 0)) is not None and u[1] != ord(c) and self.char.get(u[1]):
+                    x.append(k)
+            self.starts[c] = x
+        return x
+
     def path(self, s: str, free: bool = False) -> tuple[float, list[tuple[int, int, int]]]:
         """The score and the likeliest (state, place, length) of the units of s. free: states change at no cost."""
         # best[i]: of each state, the score up to place i, the character written last, and (state before, place before)
@@ -207,12 +228,13 @@ class Model:
             top = max(here, key=lambda k: here[k][0])
             origins = [(k, here[k][0] + inside + (0.0 if free or k == CLEAN else LEAVE), here[k][1]) for k in {top, CLEAN} if k in here]
             begins = c > "\x7f" or (c == "?" and i + 1 < len(s) and (s[i + 1].isalpha() or s[i + 1] == "?"))
-            for k in range(LOST + 1) if begins else {*here, CLEAN}:
-                u = self.unit(k, s, i)
+            least = here[top][0] - BEAM
+            for k in {CLEAN, *here, *self.beginning(c)} if begins else here.keys() | {CLEAN}:
+                u = (1, ord(c)) if k == CLEAN or (not begins and k != LOST) else self.unit(k, s, i)
                 if u is None:
                     continue
                 own, x, before = here.get(k), -math.inf, k
-                if own:
+                if own and own[0] > least:
                     x = own[0] + (STAY if k != CLEAN and begins and not free else 0.0) + self.log(own[1], u[1])
                 if begins or k == CLEAN:
                     enter = 0.0 if k == CLEAN else (0.0 if free else ENTER_LOST if k == LOST else ENTER) - 0.001 * k
@@ -277,9 +299,21 @@ class Model:
         return ("\n".join(lines), found) if found else None
 
 
+#: The model of the counts last used: a worker runs many tasks, and what it found out about words is worth keeping.
+_MODEL: dict[int, Model] = {}
+
+
+def _model(counts: tuple[tuple[int, int, int], ...]) -> Model:
+    key = hash(counts)
+    if key not in _MODEL:
+        _MODEL.clear()
+        _MODEL[key] = Model(list(counts))
+    return _MODEL[key]
+
+
 def _read(counts: tuple[tuple[int, int, int], ...]):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(list(counts))
+        model = _model(counts)
         for b in batches:
             keep, text, names, whole = [], [], [], []
             for i, t in enumerate(b.column(2).to_pylist()):

@@ -123,7 +123,8 @@ def pack(documents: DataFrame, specs: DataFrame) -> DataFrame:
     capacities = {s: c for v in by_tokenizer.values() for s, c in v}
     out = None
     for tokenizer, own in sorted(by_tokenizer.items()):
-        sizes = tokens.encode(documents, tokens.vocabulary(tokenizer), count_only=True)
+        # Long texts are counted apart from short ones; their sizes, two numbers a text, are mixed, so that small fill up what large leave.
+        sizes = tokens.encode(documents, tokens.vocabulary(tokenizer), count_only=True).repartition("doc_id")
         # The local packing is kept: container numbers are its own, and it holds the costly token counts.
         local = cut(sizes.mapInArrow(_local(sorted(own)), _LOCAL))
         out = local if out is None else out.unionByName(local)

@@ -113,6 +113,16 @@ def to_common_units(facts: DataFrame, metric_units: DataFrame, source_defaults:
     )
 
 
+def usual_units(found: DataFrame) -> DataFrame:
+    """(source, metric, unit): the unit that a source's statements of a metric most often have, the first by name of equals. found: (source, metric, unit_found).
+
+    Counted before it is shuffled; a source has a row for each metric, of which there are as many as common units are known.
+    """
+    n = found.where("source IS NOT NULL AND metric IS NOT NULL AND unit_found IS NOT NULL").groupBy("source", "metric", "unit_found").agg(F.count("*").alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("n"), "unit_found"))
+    return n.groupBy("source", "metric").agg(best.alias("b")).select("source", "metric", F.col("b.unit_found").alias("unit"))
+
+
 #: Amounts within this share of the larger magnitude are the same.
 TOLERANCE = 0.001
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import orphans, units
-from ..session import table
+from ..session import cut, table
 
 
 def _common(spark: SparkSession, d: str) -> DataFrame:
@@ -23,6 +23,16 @@ def p3_amounts(spark: SparkSession, d: str) -> DataFrame:
     return _common(spark, d).select("fact_id", "number", "unit_found", "found_in", F.round("amount", 6).alias("amount"), "common_unit")
 
 
+def p3_defaulted(spark: SparkSession, d: str) -> DataFrame:
+    """As p3_amounts, with the usual unit of the document's source where a fact names none at all."""
+    sources = table(spark, d, "profiles").where("source IS NOT NULL AND document_id IS NOT NULL").groupBy("document_id").agg(F.first("source").alias("source"))
+    # one row a document; adaptive execution splits the facts of a document that has very many
+    facts, kinds = table(spark, d, "facts").join(sources, "document_id", "left"), table(spark, d, "metric_units")
+    found = units.to_common_units(facts, kinds).select("fact_id", "metric", "unit_found").join(facts.select("fact_id", "source").dropDuplicates(["fact_id"]), "fact_id")
+    x = units.to_common_units(facts, kinds, cut(units.usual_units(found)))
+    return x.select("fact_id", "number", "unit_found", "found_in", F.round("amount", 6).alias("amount"), "common_unit")
+
+
 def _references(spark: SparkSession, d: str) -> list[tuple[orphans.Reference, int]]:
     ledger, chunks, profiles = (table(spark, d, t) for t in ("provenance_ledger", "chunks", "profiles"))
     return [
@@ -57,7 +67,7 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_amounts, p4_found, p4_counts)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_amounts, p3_defaulted, p4_found, p4_counts)}
 
 
 def _alias_rows() -> str:
@@ -119,6 +129,13 @@ SQL = {
     WHERE abs(a.amount - b.amount) <= {units.TOLERANCE} * greatest(abs(a.amount), abs(b.amount))
       AND (abs(a.factor - b.factor) > 1e-9 * greatest(a.factor, b.factor) OR abs(a."offset" - b."offset") > 1e-9)""",
     "p3_amounts": _units_sql() + "SELECT fact_id, number, unit_found, found_in, round(amount, 6) amount, common_unit FROM amounts",
+    "p3_defaulted": _units_sql()
+    + """, sources AS (SELECT DISTINCT document_id, source FROM profiles WHERE source IS NOT NULL), own AS (SELECT DISTINCT fact_id, source FROM facts JOIN sources USING (document_id)),
+    usual AS (SELECT source, metric, unit_found usual FROM (SELECT source, metric, unit_found, row_number() OVER (PARTITION BY source, metric ORDER BY count(*) DESC, unit_found) r FROM amounts JOIN own USING (fact_id) WHERE unit_found IS NOT NULL GROUP BY 1, 2, 3) WHERE r = 1),
+    named AS (SELECT a.*, usual FROM amounts a LEFT JOIN own USING (fact_id) LEFT JOIN usual ON usual.source = own.source AND usual.metric = a.metric)
+    SELECT fact_id, number, coalesce(unit_found, l.name) unit_found, coalesce(found_in, CASE WHEN l.name IS NOT NULL THEN 'source' END) found_in,
+      round(coalesce(amount, CASE WHEN unit_found IS NULL THEN number * (l.factor * CASE WHEN l.scaled OR scale IS NULL THEN 1.0 ELSE scale END) + l."offset" END), 6) amount, common_unit
+    FROM named n LEFT JOIN alias l ON n.unit_found IS NULL AND l.quantity = n.quantity AND l.name = n.usual""",
     "p4_found": ORPHANS_SQL + "SELECT table_name, record_id, orphan_kind, period FROM judged WHERE orphan_kind IS NOT NULL",
     "p4_counts": ORPHANS_SQL
     + """SELECT o.*, n.n_references FROM

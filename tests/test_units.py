@@ -59,3 +59,14 @@ def test_repeated_and_empty(spark, rows):
     assert rows(units.same_amount_pairs(common(spark, f))) == []
     assert common(spark, []).count() == 0
     assert units.same_amount_pairs(common(spark, [])).count() == 0
+
+
+def test_usual_units_of_a_source_are_defaults(spark):
+    rows = [(1, "a", "Output", "5", "kg"), (2, "a", "Output", "6", "kg"), (3, "a", "Output", "7", "t"), (4, "a", "Output", "9", ""), (5, "b", "Output", "9", None), (6, None, "Output", "9", None), (7, "a", "Output", "2 thousand", None)]
+    f = spark.createDataFrame([(i, "E", m, "2020", m, v, u, None, s) for i, s, m, v, u in rows], "fact_id long, entity string, metric string, period string, key string, value string, unit string, section string, source string")
+    m = spark.createDataFrame(METRICS, "metric string, quantity string, common_unit string")
+    found = units.to_common_units(f, m).select("fact_id", "metric", "unit_found").join(f.select("fact_id", "source"), "fact_id")
+    usual = units.usual_units(found)
+    assert [tuple(r) for r in usual.collect()] == [("a", "Output", "kg")]
+    got = {r.fact_id: (r.found_in, r.amount) for r in units.to_common_units(f, m, usual).collect()}
+    assert got[4] == ("source", pytest.approx(0.009)) and got[3] == ("unit", 7.0) and got[5] == got[6] == (None, None) and got[7] == ("source", pytest.approx(2.0))

@@ -60,6 +60,17 @@ def overlap(a: str | Column, b: str | Column) -> Column:
     return F.when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.size(x)).otherwise(F.lit(0.0))
 
 
+def weighty_words(c: str | Column) -> Column:
+    """The words of a text that count in ``overlap``."""
+    return F.array_except(word_set(c), F.array(*(F.lit(w) for w in STOP_WORDS)))
+
+
+def overlap_of(words: str | Column, b: str | Column) -> Column:
+    """``overlap`` of a text whose ``weighty_words`` are at hand, so that they aren't made again for each b."""
+    x = col(words)
+    return F.when(F.size(x) > 0, F.size(F.array_intersect(x, word_set(b))) / F.size(x)).otherwise(F.lit(0.0))
+
+
 def ascii_words(c: str | Column) -> Column:
     """Letters and digits beyond ASCII become ``_``, so that ASCII word boundaries fall where Unicode's would."""
     return F.regexp_replace(c, r"[^\P{L}\x00-\x7F]|[^\P{N}\x00-\x7F]", "_")

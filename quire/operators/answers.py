@@ -66,10 +66,10 @@ def evidence(questions: DataFrame, chunks: DataFrame, facts: DataFrame, edges: D
     chunks: (document_id, chunk_id, content, page_number, content_hash, ldu_idx), sections: of ``sections.choose_sections``, names: of
     ``entities.entities``, for hints. audit: everything beyond a cut-off, without sections; plain: chunks and all facts only, as the step-wise plan gives.
     """
-    q = questions.select("question_id", "document_id", "question")
+    q = questions.select("question_id", "document_id", "question", T.weighty_words("question").alias("words_"))
     if q.count() <= BROADCAST_QUESTIONS:
         q = F.broadcast(q)
-    score = T.overlap("question", "content")
+    score = T.overlap_of("words_", "content")
     columns = ["question_id", "question", "source_no", "ord_", "content", "page_number", "content_hash"]
     none = F.lit(None).cast("string").alias("content_hash")
     out = []
@@ -92,11 +92,11 @@ def evidence(questions: DataFrame, chunks: DataFrame, facts: DataFrame, edges: D
             h = hints(q, names)
             h = F.broadcast(h) if questions.count() <= BROADCAST_QUESTIONS else h
             f = f.join(h, "question_id").where(holds("entity", "entity_hint") & holds("period", "period_hint"))
-        f = f.withColumn("score", T.overlap("question", F.concat_ws(" ", "key", "value", "entity", "metric"))).where("score > 0")
+        f = f.withColumn("score", T.overlap_of("words_", F.concat_ws(" ", "key", "value", "entity", "metric"))).where("score > 0")
         f = _best(f, FACTS, F.desc("score"), "fact_id")
     out.append(f.withColumn("source_no", F.lit(2)).select(*columns))
     if edges is not None and not plain:
-        e = edges.join(q, "document_id").withColumn("text", F.concat_ws(" ", "source", "relation", "target")).where(T.overlap("question", "text") >= EDGE_LEAST)
+        e = edges.join(q, "document_id").withColumn("text", F.concat_ws(" ", "source", "relation", "target")).where(T.overlap_of("words_", "text") >= EDGE_LEAST)
         e = _best(e, None if audit else EDGES, edge_order(), "page_ref", "source", "relation", "target")
         written = F.col("text") if audit else F.concat(F.lit("[KG] "), F.concat_ws(" → ", "source", "relation", "target"))
         out.append(e.select("question_id", "question", F.lit(3).alias("source_no"), "ord_", written.alias("content"), F.col("page_ref").alias("page_number"), none))
@@ -127,9 +127,9 @@ def citations(found: DataFrame) -> DataFrame:
 def audits(claims: DataFrame, found: DataFrame, chunks: DataFrame) -> DataFrame:
     """(question_id, status, n_evidence): verified with evidence; unverifiable if a chunk of the document shares a word with the claim but too few; else not found."""
     n = found.groupBy("question_id").agg(F.count("*").alias("n"))
-    q = claims.select("question_id", "document_id", "question")
+    q = claims.select("question_id", "document_id", T.weighty_words("question").alias("words_"))
     if q.count() <= BROADCAST_QUESTIONS:
         q = F.broadcast(q)
-    related = chunks.join(q, "document_id").where(T.overlap("question", "content") > 0).select("question_id", F.lit(True).alias("related")).distinct()
+    related = chunks.join(q, "document_id").where(T.overlap_of("words_", "content") > 0).select("question_id", F.lit(True).alias("related")).distinct()
     x = claims.select("question_id").join(n, "question_id", "left").join(related, "question_id", "left")
     return x.select("question_id", F.when(F.col("n") > 0, "verified").when(F.col("related"), "unverifiable").otherwise("not_found").alias("status"), F.coalesce("n", F.lit(0)).alias("n_evidence"))

@@ -5,8 +5,9 @@ for boxes, their place. Words broken at a line end are joined. A rare word is li
 by a plausible misreading of one or two glyphs; of those, and against leaving the word alone, the one is taken whose
 frequency and whose skip-gram vector, beside the words around it, fit. Furniture is then dropped and the lines are reflowed.
 
-Word counts and vectors come from all units. What counts as known is a share of all words, KNOWN, so the vocabulary can't have more than
-1 / KNOWN words at any amount of text, and behaves alike at every size; vectors, pairs and words of headers are bounded by shares as well.
+Word counts and vectors come from all units. Every word seen twice keeps its count and every word seen six times its vector, at any amount of
+text: a rare word taken for one never seen would be changed into a neighbour hardly more frequent. Words are held by hash, so that
+all of them can be. What is common in headers is a share of the headers.
 
 Defined cases: null texts have no noise; a page's boxes are read by idx, then box_id; a null height puts no box at a page's edge; redelivered
 copies of a record count once; chunks of documents that aren't scanned aren't read. Other columns are ignored.
@@ -26,10 +27,11 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from . import skipgram
+from .words import Words, key
 
 SCANNED = "scanned_image"
-#: A word is known if it is seen twice and is at least one in so many of all words.
-KNOWN = 2_000_000
+#: A word is known if it is seen so often.
+KNOWN = 2
 #: A word may be a misreading of one so many times as frequent; of a capitalised one.
 RARER, RARER_NAME = 40, 12
 LEAST = 6
@@ -147,7 +149,7 @@ def _mixed(token: str) -> bool:
 
 
 class Reader:
-    def __init__(self, counts: dict[str, int], vectors: dict[str, np.ndarray], forms: set[str], titles: set[str]) -> None:
+    def __init__(self, counts: dict[str, int] | Words, vectors: dict[str, np.ndarray] | Words, forms: set[str], titles: set[str]) -> None:
         self.n, self.vectors, self.forms, self.titles = counts, vectors, forms, titles
         self.known: dict[str, list[tuple[str, int]] | None] = {}
         self.fine: set[str] = set()  # tokens, as they stand between blanks, that nothing is wrong with
@@ -190,7 +192,7 @@ class Reader:
 
     def fit(self, word: str, around: list[str]) -> float | None:
         v = self.vectors.get(word)
-        near = [self.vectors[x] for x in around if x in self.vectors]
+        near = [y for x in around if (y := self.vectors.get(x)) is not None]
         return float(v @ np.mean(near, axis=0)) if v is not None and near else None
 
     def number(self, token: str, following: str) -> bool:
@@ -408,18 +410,29 @@ def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 TITLE_SHARE, FORMS_SHARE, FORMS_LEAST = 0.015, 0.005, 3
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keys = np.array([key(w) for w in b.column(0).to_pylist()], np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(1)], names=["key", "n"])
+
+
+def _by_count(n: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of words, the most frequent first: 16 bytes a word come to the driver."""
+    x = n.orderBy(F.desc("n"), "word").mapInArrow(_hashed, "key long, n long").toArrow()
+    return x.column("key").to_numpy().view(np.uint64), x.column("n").to_numpy()
+
+
 def fit(u: DataFrame) -> tuple:
-    """Word counts, vectors, the last words of names and the common words in headers, from all units; each is bounded by the share it needs."""
-    n = cut(u.select("lines").mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"))
-    total = n.agg(F.sum("n")).first()[0] or 0
-    counts = {r.word: r.n for r in n.where(F.col("n") >= total / KNOWN).collect()}  # at most KNOWN words
+    """Counts of all words seen twice, their vectors, the last words of names and the common words in headers, from all units."""
+    keys, n = _by_count(cut(u.select("lines").mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= KNOWN)))
+    trained = int((n >= skipgram.LEAST).sum())
     h = cut(u.where("table_name = 'ocr_boxes'").select("lines", "places").mapInArrow(_headers, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= FORMS_LEAST))
     headers = h.where("word = ''").agg(F.max("n")).first()[0] or 0
     words = {r.word: r.n for r in h.where(F.col("n") >= FORMS_SHARE * headers).collect()}  # a header has a few words, so these are some thousands at most
     forms = {w[1:] for w in words if w.startswith(" ") and words[w] >= max(FORMS_LEAST, FORMS_SHARE * headers)}
     titles = {w for w, k in words.items() if w and w[0] != " " and w.isalpha() and k >= max(FORMS_LEAST, TITLE_SHARE * headers)}
     titles = {w for w in titles if not any(words[x] >= 3 * words[w] for x in _one_edit(w) & titles)}  # common misreadings
-    return counts, skipgram.train(u.select("lines"), list(counts.items()), words_of, total), forms, titles
+    return Words(keys, n), skipgram.vectors(u.select("lines"), keys[:trained], n[:trained], words_of), forms, titles
 
 
 def noise(chunks: DataFrame, profiles: DataFrame, boxes: DataFrame) -> DataFrame:

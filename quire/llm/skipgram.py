@@ -1,8 +1,8 @@
 """Skip-gram vectors with negative sampling (Mikolov et al.), trained from counts of word pairs.
 
 The pairs are counted over all texts by Spark; as the objective depends on the pairs only through their counts, training draws pairs
-by count, so many for each word. Words and pairs take part by their count and their share of all, so there are at most SHARE words and
-PAIRS pairs at any amount of text, and none is left out by its rank.
+by count, so many for each word. Words and pairs take part by their count alone, at any amount of text: none is left out by its rank or by
+its share of all.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A word has a vector if it is seen so often and is at least one in so many of all words; a pair counts if it is at least one in so many of all pairs.
-LEAST, SHARE, PAIRS = 6, 1_000_000, 20_000_000
+from .words import Words, key
+
+#: A word has a vector if it is seen so often, a pair counts if it is.
+LEAST, LEAST_PAIR = 6, 2
 SIZE = 32
 WINDOW = 2
 #: Pairs drawn for each word, and at least.
@@ -25,9 +27,11 @@ NEGATIVES = 48
 RATE = 0.05
 #: A word moves by at most so many draws' steps a batch, else the few words of a small vocabulary would run away.
 STEPS = 16
+#: Vectors in a batch that goes back.
+ROWS = 10_000
 
 
-def _pairs(ids: dict[str, int], words_of):  # noqa: ANN001, ANN202
+def _pairs(ids: Words, words_of):  # noqa: ANN001, ANN202
     base = len(ids) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,33 +60,41 @@ def _add(m: np.ndarray, at: np.ndarray, x: np.ndarray) -> None:
     m[at[first]] += np.add.reduceat(x[order], first, axis=0)
 
 
-def train(units: DataFrame, words: list[tuple[str, int]], words_of, total: int | None = None, seed: int = 1) -> dict[str, np.ndarray]:  # noqa: ANN001
-    """Unit vectors of words, of which there are ``total`` in all, these by default. units: one column of lines; words_of makes words of the lines of a row."""
-    total = sum(n for _, n in words) if total is None else total
-    words = sorted(((w, n) for w, n in words if n >= max(LEAST, total / SHARE)), key=lambda w: (-w[1], w[0]))
-    if len(words) < 10:
+def train(units: DataFrame, words: list[tuple[str, int]], words_of, seed: int = 1) -> Words | dict:  # noqa: ANN001
+    """Unit vectors of words, given with their counts. units: one column of lines; words_of makes words of the lines of a row."""
+    words = sorted(((w, n) for w, n in words if n >= LEAST), key=lambda w: (-w[1], w[0]))
+    return vectors(units, np.array([key(w) for w, _ in words], np.uint64), np.array([n for _, n in words], np.int64), words_of, seed)
+
+
+def vectors(units: DataFrame, keys: np.ndarray, counts: np.ndarray, words_of, seed: int = 1) -> Words | dict:  # noqa: ANN001
+    """As train, with words given by their hashes, the most frequent first."""
+    if not len(keys):
         return {}
-    ids = {w: i for i, (w, _) in enumerate(words, 1)}
+    ids = Words(keys, np.arange(1, len(keys) + 1))
     # Pairs seen once say nothing. One task trains on the pairs, where the numeric library has one thread; only the vectors
     # come to the driver.
-    rows = units.mapInArrow(_pairs(ids, words_of), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, total * WINDOW / PAIRS))
-    counts = [c for _, c in words]
-    found = rows.repartition(1).mapInArrow(_trained(counts, seed), "id int, vector array<float>").collect()
-    return {words[r.id - 1][0]: np.array(r.vector, np.float32) for r in found}
+    rows = units.mapInArrow(_pairs(ids, words_of), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_PAIR)
+    found = rows.repartition(1).mapInArrow(_trained(counts, seed), "id int, vector array<float>").toArrow()
+    if not found.num_rows:
+        return {}
+    v = np.concatenate([c.flatten().to_numpy() for c in found.column("vector").chunks]).reshape(-1, SIZE)
+    return Words(keys[found.column("id").to_numpy() - 1], v)
 
 
-def _trained(counts: list[int], seed: int):  # noqa: ANN202
+def _trained(counts: np.ndarray, seed: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.stack([c.to_numpy() for c in b.columns], axis=1) for b in batches if b.num_rows]
         if held:
             rows = np.concatenate(held)
             v = _fit(rows[np.argsort(rows[:, 0], kind="stable")], counts, seed)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, len(v)), pa.int32()), pa.array(list(v[1:]), pa.list_(pa.float32()))], names=["id", "vector"])
+            for at in range(1, len(v), ROWS):
+                x = v[at : at + ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(x)), pa.int32()), pa.array(list(x), pa.list_(pa.float32()))], names=["id", "vector"])
 
     return run
 
 
-def _fit(rows: np.ndarray, counts: list[int], seed: int) -> np.ndarray:
+def _fit(rows: np.ndarray, counts: np.ndarray, seed: int) -> np.ndarray:
     base = len(counts) + 1
     draws = max(LEAST_DRAWS, DRAWS * base)
     rng = np.random.default_rng(seed)
